@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from lorespark.plans import data_queries
+
+_MODULES = (data_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.queries().items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, sql in m.oracle_sql().items()}
