@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from lorespark.operators.widen import latest
 from lorespark.runtime import filesystem
 
-#: Keys of so many consecutive cursors share a leaf range.
-LEAF_WIDTH = 256
-#: Each range has so many leaves, by a hash of the rest of the key: one cursor with very many records spreads.
-LEAF_SPLIT = 16
-#: Children of an inner node.
-FANOUT = 64
-#: Levels above the leaves; 64 ** 6 leaf ranges of 256 cursors are more than a bigint key needs in practice.
+#: Keys of 2 ** 8 consecutive cursors share a leaf range.
+RANGE_BITS = 8
+#: Each range has 2 ** 4 leaves, by a hash of the rest of the key: one cursor with very many records spreads.
+SPLIT_BITS = 4
+#: An inner node has 2 ** 6 children.
+FANOUT_BITS = 6
+#: Levels above the leaves; a node of the top level covers 2 ** 38 cursors.
 LEVELS = 6
+#: The leaf range of NULL cursors, below that of any bigint.
+NULL_RANGE = -(2**58)
 
 
 class IncrementalStore:
@@ -64,7 +66,7 @@ class IncrementalStore:
 
     def _range(self) -> Column:
         """The leaf range of a key; NULL cursors have one of their own."""
-        return F.coalesce(F.floor(F.col(self.cursor) / LEAF_WIDTH), F.lit(-(2**62))).cast("bigint")
+        return F.coalesce(F.shiftright(F.col(self.cursor).cast("bigint"), RANGE_BITS), F.lit(NULL_RANGE))
 
     def stage(self, rows: DataFrame) -> str:
         """Write the state of rows (each key with its latest value) and its tree; returns the version's name.
@@ -75,7 +77,7 @@ class IncrementalStore:
         state = (
             latest(rows.select(self.cursor, self.rest, self.value, self.order), [self.cursor, self.rest], self.value, self.order)
             .withColumn("__range", self._range())
-            .withColumn("__split", F.expr(f"pmod(xxhash64(`{self.rest}`), {LEAF_SPLIT})").cast("int"))
+            .withColumn("__split", F.expr(f"pmod(xxhash64(`{self.rest}`), {1 << SPLIT_BITS})").cast("int"))
         )
         (
             state.repartitionByRange("__range", "__split")
@@ -101,7 +103,7 @@ class IncrementalStore:
         level = leaf.select(
             F.lit(0).alias("level"),
             F.col("__range").alias("parent"),
-            (F.col("__range") * LEAF_SPLIT + F.col("__split")).alias("node"),
+            (F.shiftleft("__range", SPLIT_BITS) + F.col("__split")).alias("node"),
             "digest",
             "check",
             "records",
@@ -117,7 +119,7 @@ class IncrementalStore:
                 )
                 .select(
                     F.lit(k).alias("level"),
-                    (F.lit(0) if k == LEVELS else F.floor(F.col("node") / FANOUT)).cast("bigint").alias("parent"),
+                    (F.lit(0) if k == LEVELS else F.shiftright("node", FANOUT_BITS)).cast("bigint").alias("parent"),
                     "node",
                     "digest",
                     "check",
@@ -147,8 +149,8 @@ class IncrementalStore:
             differ = a.join(b, "node", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
             open_nodes = differ.select(F.col("node").alias("open"))
         return open_nodes.select(
-            F.floor(F.col("open") / LEAF_SPLIT).cast("bigint").alias("__range"),
-            F.expr(f"pmod(open, {LEAF_SPLIT})").cast("int").alias("__split"),
+            F.shiftright("open", SPLIT_BITS).alias("__range"),
+            F.expr(f"pmod(open, {1 << SPLIT_BITS})").cast("int").alias("__split"),
         )
 
     def changes(self, staged: str, saved: str | None = None) -> DataFrame:
