@@ -9,16 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.operators.widen import latest
-from lorespark.runtime import filesystem
+from lorespark.runtime import filesystem, written
 
 #: Keys of 2 ** 8 consecutive cursors share a leaf range.
 RANGE_BITS = 8
 #: Each range has 2 ** 4 leaves, by a hash of the rest of the key: one cursor with very many records spreads.
 SPLIT_BITS = 4
-#: An inner node has 2 ** 6 children.
-FANOUT_BITS = 6
-#: Levels above the leaves; a node of the top level covers 2 ** 38 cursors.
-LEVELS = 6
+#: An inner node has 2 ** 10 children.
+FANOUT_BITS = 10
+#: Levels above the leaves; a node of the top level covers 2 ** 28 cursors, and all of those are compared.
+LEVELS = 3
 #: The leaf range of NULL cursors, below that of any bigint.
 NULL_RANGE = -(2**58)
 
@@ -92,65 +92,57 @@ class IncrementalStore:
         return self.spark.read.schema(kinds.format(self.cursor, self.rest, self.value)).parquet(f"{self.path}/{version}/state")
 
     def _tree(self, state: DataFrame) -> DataFrame:
-        """(level, parent, node, digest, check, records): leaves at level 0, each level's digest made of the one below."""
+        """(level, parent, node, digest, check, records): leaves at level 0, inner nodes hash the leaves below them.
+
+        All levels come from one aggregation of the leaves.
+        """
         # NULL and the text 'null' differ in the flag; two digests with different seeds make 128 bits.
         record = [F.col(self.cursor), F.col(self.rest), F.col(self.value), F.isnull(self.cursor), F.isnull(self.rest), F.isnull(self.value)]
-        leaf = state.groupBy("__range", "__split").agg(
-            F.bit_xor(F.xxhash64(*record)).alias("digest"),
-            F.bit_xor(F.xxhash64(F.lit(17), *reversed(record))).alias("check"),
-            F.count(F.lit(1)).alias("records"),
-        )
-        level = leaf.select(
-            F.lit(0).alias("level"),
-            F.col("__range").alias("parent"),
-            (F.shiftleft("__range", SPLIT_BITS) + F.col("__split")).alias("node"),
-            "digest",
-            "check",
-            "records",
+        leaves = state.groupBy("__range", "__split").agg(
+            F.bit_xor(F.xxhash64(*record)).alias("d"),
+            F.bit_xor(F.xxhash64(F.lit(17), *reversed(record))).alias("c"),
+            F.count(F.lit(1)).alias("n"),
         )
-        levels = [level]
-        for k in range(1, LEVELS + 1):
-            level = (
-                level.groupBy(F.col("parent").alias("node"))
-                .agg(
-                    F.bit_xor(F.xxhash64("node", "digest", "records")).alias("digest"),
-                    F.bit_xor(F.xxhash64(F.lit(17), "check", "records", "node")).alias("check"),
-                    F.sum("records").alias("records"),
-                )
-                .select(
-                    F.lit(k).alias("level"),
-                    (F.lit(0) if k == LEVELS else F.shiftright("node", FANOUT_BITS)).cast("bigint").alias("parent"),
-                    "node",
-                    "digest",
-                    "check",
-                    "records",
-                )
+        leaf = F.shiftleft("__range", SPLIT_BITS) + F.col("__split")
+
+        def node(level: int):
+            if level > LEVELS:
+                return F.lit(0).cast("bigint")
+            return leaf if level == 0 else F.shiftright("__range", FANOUT_BITS * (level - 1))
+
+        places = [F.struct(F.lit(k).alias("level"), node(k + 1).alias("parent"), node(k).alias("node")) for k in range(LEVELS + 1)]
+        return (
+            leaves.select(leaf.alias("leaf"), "d", "c", "n", F.explode(F.array(*places)).alias("at"))
+            .groupBy("at.level", "at.parent", "at.node")
+            .agg(
+                F.bit_xor(F.xxhash64("leaf", "d", "n")).alias("digest"),
+                F.bit_xor(F.xxhash64(F.lit(17), "c", "n", "leaf")).alias("check"),
+                F.sum("n").alias("records"),
             )
-            levels.append(level)
-        tree = levels[0]
-        for level in levels[1:]:
-            tree = tree.unionByName(level)
-        return tree
+        )
 
-    def _level(self, version: str, level: int) -> DataFrame:
+    def _saved_tree(self, version: str) -> DataFrame:
         kinds = "level int, parent bigint, node bigint, digest bigint, check bigint, records bigint"
-        return self.spark.read.schema(kinds).parquet(f"{self.path}/{version}/tree").where(F.col("level") == level)
+        return self.spark.read.schema(kinds).parquet(f"{self.path}/{version}/tree")
 
     def changed_leaves(self, saved: str, staged: str) -> DataFrame:
         """(__range, __split) of the leaves whose digests differ, found by descending from the top."""
-        open_nodes = None
+        both = self._saved_tree(saved).unionAll(self._saved_tree(staged))
+        sums, opened = ("digest", "check", "records"), None
         for k in range(LEVELS, -1, -1):
-            a, b = self._level(saved, k), self._level(staged, k)
-            if open_nodes is not None:
-                a = a.join(open_nodes, a["parent"] == open_nodes["open"], "left_semi")
-                b = b.join(open_nodes, b["parent"] == open_nodes["open"], "left_semi")
-            a = a.select("node", F.struct("digest", "check", "records").alias("a"))
-            b = b.select("node", F.struct("digest", "check", "records").alias("b"))
-            differ = a.join(b, "node", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
-            open_nodes = differ.select(F.col("node").alias("open"))
-        return open_nodes.select(
-            F.shiftright("open", SPLIT_BITS).alias("__range"),
-            F.expr(f"pmod(open, {1 << SPLIT_BITS})").cast("int").alias("__split"),
+            level = both.where(F.col("level") == k)
+            if opened is not None:
+                level = level.join(opened, "parent", "left_semi")
+            found = level.groupBy("node").agg(
+                F.count(F.lit(1)).alias("sides"), *(f(c).alias(f"{f.__name__}_{c}") for c in sums for f in (F.min, F.max))
+            )
+            differs = F.col("sides") == 1
+            for c in sums:
+                differs = differs | (F.col(f"min_{c}") != F.col(f"max_{c}"))
+            opened = found.where(differs).select(F.col("node").alias("parent"))
+        return opened.select(
+            F.shiftright("parent", SPLIT_BITS).alias("__range"),
+            F.expr(f"pmod(parent, {1 << SPLIT_BITS})").cast("int").alias("__split"),
         )
 
     def changes(self, staged: str, saved: str | None = None) -> DataFrame:
@@ -163,7 +155,7 @@ class IncrementalStore:
         now = self._state(staged)
         if saved is None:
             return now.select(*keys, self.value, F.lit("new").alias("change"))
-        leaves = self.changed_leaves(saved, staged)
+        leaves = written(self.changed_leaves(saved, staged), "leaves")
         span = leaves.agg(F.min("__range"), F.max("__range")).first()  # two numbers, for the scan
         inside = F.lit(False) if span[0] is None else F.col("__range").between(span[0], span[1])
 
