@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.llm.fuse import fuse_scores, leaders_by_place
+from lorespark.llm.mix import Mix, Target, mix_sources
+from lorespark.llm.split import holding_versions, split_oversized
+from lorespark.llm.tokens import decode_corpus, encode_corpus
 from lorespark.llm.topn import top_n_per_group
 from lorespark.runtime import prepare
 
@@ -41,6 +44,38 @@ def p4_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return _fused(spark, sf).table().select("query_id", "doc_id", F.round("fused", 9).alias("fused"), "position")
 
 
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return split_oversized(holding_versions(_read(spark, sf, "corpus_docs"), "doc_id", "body", "modified_at"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_pieces(spark, sf).where("piece = 0").select("doc_id", "boundary")
+
+
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_corpus(_read(spark, sf, "documents"))
+
+
+def p6_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts read back from their ids."""
+    return decode_corpus(p6_ids(spark, sf))
+
+
+def _mix(spark: SparkSession, sf: str) -> Mix:
+    rows = _read(spark, sf, "mix_targets").collect()  # a fixed table
+    targets = [Target(r.source, r.target_share, r.max_repeats) for r in rows]
+    documents = _read(spark, sf, "documents").withColumn("sources", F.array(F.lower(F.trim("source"))))
+    return mix_sources(documents, targets)
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).documents
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).report
+
+
 _TOP10 = """
 WITH best AS (
   SELECT query_id, doc_id, max(ce_norm) AS ce_norm FROM pool
@@ -104,8 +139,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_top10": p1_top10,
+        "p3_found": p3_found,
+        "p3_pieces": p3_pieces,
         "p4_found": p4_found,
         "p4_ranking": p4_ranking,
+        "p6_ids": p6_ids,
+        "p6_roundtrip": p6_roundtrip,
+        "p7_mix": p7_mix,
+        "p7_report": p7_report,
     }
 
 
@@ -115,4 +156,5 @@ def oracle_sql() -> dict[str, str]:
         "p1_top10": _TOP10 + "SELECT query_id, doc_id, ce_norm, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
         "p4_found": _PLACES,
         "p4_ranking": _RANKING,
+        "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
