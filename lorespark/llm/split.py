@@ -16,7 +16,7 @@ HARD = "character"
 _PATTERNS = [
     regex.compile(p)
     for p in (
-        r"(?:\A|\r?\n)(?:[^\S\n]*+\n)++(?:[^\S\n]++\Z)?|\r?\n[^\S\n]++\Z",  # blank lines, with the line end before them
+        r"(?:\A|\r?\n)(?:[^\S\n]*+\n)++(?:[^\S\n]++\Z)?|(?:\A|\r?\n)[^\S\n]++\Z",  # blank lines, with the line end before them
         r"\r?\n",
         r"(?<=[.!?…])\s+|(?<=[。！？])\s*",
         r"\s+",
