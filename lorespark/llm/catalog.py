@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.llm.fuse import fuse_scores, leaders_by_place
+from lorespark.llm.language import find_languages, fit_languages, wrongly_labelled
 from lorespark.llm.mix import Mix, Target, mix_sources
 from lorespark.llm.split import holding_versions, split_oversized
 from lorespark.llm.tokens import decode_corpus, encode_corpus
 from lorespark.llm.topn import top_n_per_group
-from lorespark.runtime import prepare
+from lorespark.runtime import prepare, written
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -76,6 +77,16 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).report
 
 
+def p8_languages(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _read(spark, sf, "documents")
+    return find_languages(documents, fit_languages(documents, "doc_id", "text", "lang"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = p8_languages(spark, sf).select("doc_id", "label", "seg", "lang")
+    return wrongly_labelled(written(found, "languages"))
+
+
 _TOP10 = """
 WITH best AS (
   SELECT query_id, doc_id, max(ce_norm) AS ce_norm FROM pool
@@ -147,6 +158,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_roundtrip": p6_roundtrip,
         "p7_mix": p7_mix,
         "p7_report": p7_report,
+        "p8_found": p8_found,
+        "p8_languages": p8_languages,
     }
 
 
