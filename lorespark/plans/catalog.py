@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorespark.plans import data_queries
+from lorespark.plans import data_queries, record_queries
 
-_MODULES = (data_queries,)
+_MODULES = (data_queries, record_queries)
 
 
 def queries() -> dict:
