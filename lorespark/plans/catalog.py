@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorespark.plans import data_queries, record_queries
+from lorespark.plans import data_queries, record_queries, retrieval_queries
 
-_MODULES = (data_queries, record_queries)
+_MODULES = (data_queries, record_queries, retrieval_queries)
 
 
 def queries() -> dict:
