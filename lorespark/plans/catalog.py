@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorespark.plans import data_queries, record_queries, retrieval_queries
+from lorespark.plans import data_queries, eval_queries, graph_queries, record_queries, retrieval_queries
 
-_MODULES = (data_queries, record_queries, retrieval_queries)
+_MODULES = (data_queries, record_queries, retrieval_queries, graph_queries, eval_queries)
 
 
 def queries() -> dict:
