@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 _VOWEL = "aeiou"
 #: The published suffix tables of steps 2, 3 and 4.
@@ -91,6 +92,11 @@ def index_tokens(text: str | None) -> list[str]:
     return [stem(t) for t in re.findall(r"[^\W_]+", folded)]
 
 
-@F.pandas_udf("array<string>")
-def index_tokens_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(index_tokens)
+def index_tokens_udf(text):
+    """index_tokens of a column, a batch at a time."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(index_tokens)
+
+    return run(text)
