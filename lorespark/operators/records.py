@@ -78,9 +78,9 @@ def supersede(
     light = rows.where(F.col("__h").isNull() | ~is_hot("__h", hot)).withColumn(out, F.when(whole, nxt)).drop("__h")
     if not hot:
         return light
-    placed = positions(rows.where(is_hot("__h", hot)), "__h", [F.col(c) for c in (*keys, order)], "__at")
-    later = placed.select("__h", (F.col("__at") - 1).alias("__at"), F.struct(*keys).alias("__k"), F.col(order).alias("__next"))
-    heavy = placed.join(later, ["__h", "__at"], "left").withColumn(out, F.when(F.struct(*keys) == F.col("__k"), F.col("__next")))
+    placed = positions(rows.where(is_hot("__h", hot)), "__h", [F.col(c) for c in (*keys, order)], "__pos")
+    later = placed.select("__h", (F.col("__pos") - 1).alias("__pos"), F.struct(*keys).alias("__k"), F.col(order).alias("__next"))
+    heavy = placed.join(later, ["__h", "__pos"], "left").withColumn(out, F.when(F.struct(*keys) == F.col("__k"), F.col("__next")))
     return light.unionByName(heavy.select(light.columns))
 
 
