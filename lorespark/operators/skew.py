@@ -61,3 +61,25 @@ def positions(df: DataFrame, group: str, order: list[Column], out: str) -> DataF
         .withColumn(out, (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("bigint"))
         .drop("__at", "__part", "__first", "__before")
     )
+
+
+def lower_medians(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """(group, columns...): the exact lower median of each column's values that are not NULL, per group.
+
+    For few groups of any size (the hot ones). A mergeable sketch brackets the median between two
+    values whose ranks it knows to one in 10,000; the values below the bracket are counted, and only
+    the distinct values inside it, some two in a thousand, are put in order.
+    """
+    keys = df.select(group).distinct()
+    for c in columns:
+        rows = df.select(group, F.col(c).alias("__x")).where("__x IS NOT NULL")
+        ends = rows.groupBy(group).agg(
+            F.percentile_approx("__x", [0.499, 0.501], 10_000).alias("__e"), F.expr("(count(1) + 1) div 2").alias("__want")
+        )
+        inside = rows.join(F.broadcast(ends), group)  # one row per hot group
+        below = inside.groupBy(group).agg(F.count_if(F.expr("__x < __e[0]")).alias("__below"))
+        near = inside.where("__x BETWEEN __e[0] AND __e[1]").groupBy(group, "__x", "__want").agg(F.count(F.lit(1)).alias("__n"))
+        upto = F.sum("__n").over(Window.partitionBy(group).orderBy("__x")) + F.col("__below")
+        found = near.join(F.broadcast(below), group).withColumn("__upto", upto).where("__upto >= __want")
+        keys = keys.join(found.groupBy(group).agg(F.min("__x").alias(c)), group, "left")
+    return keys

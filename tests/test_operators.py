@@ -8,7 +8,7 @@ from lorespark.errors import InvalidLimitError
 from lorespark.functions.payload import check_schema, violations
 from lorespark.functions.stem import index_tokens, stem
 from lorespark.operators import evals, fusion, graph, records, text, vector
-from lorespark.operators.skew import hot_groups, positions
+from lorespark.operators.skew import hot_groups, lower_medians, positions
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,17 @@ def test_positions_over_many_tasks(spark):
         assert [got[g, r[2]] for r in order] == list(range(1, len(order) + 1))
 
 
+def test_lower_medians(spark):
+    rng = random.Random(7)
+    rows = [("a", rng.gauss(0, 1), None) for _ in range(3001)] + [("b", float(i % 3), 1.0) for i in range(30_000)] + [("c", None, 2.0), ("d", 4.0, 5.0), ("d", 3.0, 6.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
+    got = {r.g: (r.x, r.y) for r in lower_medians(df, "g", ["x", "y"]).collect()}
+    for g in "abcd":
+        for k in (0, 1):
+            have = sorted(r[k + 1] for r in rows if r[0] == g and r[k + 1] is not None)
+            assert got[g][k] == (have[(len(have) - 1) // 2] if have else None)
+
+
 def test_hot_groups(spark):
     df = spark.createDataFrame([("a",)] * 50 + [("b",)] * 20 + [(None,)] * 90, "k string")
     assert hot_groups(df, "k", 30) == {"a": 50}
