@@ -138,7 +138,7 @@ standard AS (
   FROM best JOIN scale USING (query_id)),
 fused AS (
   SELECT query_id, doc_id, (zb + zc) / 2 AS plain,
-    -(ln(1 + exp(-abs(zb))) + greatest(-zb, 0) + ln(1 + exp(-abs(zc))) + greatest(-zc, 0)) / 2 AS log
+    round(-(ln(1 + exp(-abs(zb))) + greatest(-zb, 0) + ln(1 + exp(-abs(zc))) + greatest(-zc, 0)) / 2, 12) AS log
   FROM standard)
 SELECT query_id, doc_id, round(exp(log), 9) AS fused,
        row_number() OVER (PARTITION BY query_id ORDER BY log DESC, plain DESC, doc_id) AS position

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorespark.operators.skew import hot_groups, is_hot, positions
+from lorespark.operators.skew import hot_groups, is_hot, lower_medians, positions
 from lorespark.runtime import written
 
 #: Makes the median absolute deviation of a normal sample equal its standard deviation.
@@ -17,8 +17,6 @@ MAD_TO_SD = 1.4826
 MEAN_AD_TO_SD = 1.2533
 #: Where a missing score is put, in robust standard deviations, unless the group has a lower one.
 MISSING_Z = -3.0
-#: Rank error of the quantile sketches is one in this many rows; groups up to about half as large are exact.
-ACCURACY = 10_000
 
 
 @dataclass
@@ -54,7 +52,7 @@ def _combined(weights: list[float]) -> tuple[Column, Column]:
     total = float(sum(weights))
     log = sum((_log_logistic(F.col(f"z{k}")) * w for k, w in enumerate(weights)), F.lit(0.0)) / total
     plain = sum((F.col(f"z{k}") * w for k, w in enumerate(weights)), F.lit(0.0)) / total
-    return log, plain
+    return F.round(log, 12), plain
 
 
 def fuse_scores(
@@ -72,14 +70,13 @@ def fuse_scores(
     (the mean absolute deviation replaces a MAD of zero; a constant score gives 0), a logistic curve
     squashes that into (0, 1), and the weighted geometric mean of the squashed values orders the
     group. A missing value stands low: at -3, or with the group's lowest. The fused value never
-    falls when a score rises. Ties go to the higher mean of the unsquashed values, then to the
+    falls when a score rises; medians are exact, of an even number of values the lower. Ties go to the higher mean of the unsquashed values, then to the
     smaller item. Rows without group or item are left out; an empty table gives no rows; other
     columns of df are ignored.
 
-    Columns: group, item, the scores, fused (the geometric mean), position (1 is best). Medians are
-    taken over all rows by mergeable sketches with a rank error of at most 1 in 10,000. Groups of
+    Columns: group, item, the scores, fused (the geometric mean), position (1 is best). Groups of
     ``hot_rows`` rows and more are not windowed in one task: they are aggregated under their full
-    key, and their positions come from a range sort.
+    key, their medians selected within a sketch's bracket, and their positions come from a range sort.
     """
     names, weights = list(scores), list(scores.values())
     rows = df.select(
@@ -103,10 +100,17 @@ def fuse_scores(
 
     light = rows.where(~is_hot("g", hot)).repartition("g").groupBy("g", "i").agg(*best)
     whole = Window.partitionBy("g")
-    light = light.withColumns({f"m{k}": F.percentile_approx(s, 0.5, ACCURACY).over(whole) for k, s in enumerate(keep)})
+
+    def median(x: str) -> Column:
+        rank = F.row_number().over(whole.orderBy(F.col(x).asc_nulls_last()))
+        return F.when(rank == F.expr(f"(count({x}) OVER (PARTITION BY g) + 1) div 2"), F.col(x))
+
+    light = light.withColumns({f"m{k}": median(s) for k, s in enumerate(keep)})
+    light = light.withColumns({f"m{k}": F.max(f"m{k}").over(whole) for k in range(len(keep))})
     light = light.withColumns({f"d{k}": F.abs(F.col(s) - F.col(f"m{k}")) for k, s in enumerate(keep)})
+    light = light.withColumns({f"a{k}": median(f"d{k}") for k in range(len(keep))})
     light = light.withColumns(
-        {f"a{k}": F.percentile_approx(f"d{k}", 0.5, ACCURACY).over(whole) for k in range(len(keep))}
+        {f"a{k}": F.max(f"a{k}").over(whole) for k in range(len(keep))}
         | {f"e{k}": F.avg(f"d{k}").over(whole) for k in range(len(keep))}
         | {f"l{k}": F.min(s).over(whole) for k, s in enumerate(keep)}
     )
@@ -122,15 +126,14 @@ def fuse_scores(
 
     # Hot groups: their statistics are at most most_hot rows, which is what is broadcast.
     hot_items = written(rows.where(is_hot("g", hot)).groupBy("g", "i").agg(*best), "fuse-hot")
-    first = hot_items.groupBy("g").agg(
-        *(F.percentile_approx(s, 0.5, ACCURACY).alias(f"m{k}") for k, s in enumerate(keep)),
-        *(F.min(s).alias(f"l{k}") for k, s in enumerate(keep)),
-    )
-    centred = hot_items.join(F.broadcast(first), "g")
-    second = centred.groupBy("g").agg(
-        *(F.percentile_approx(F.abs(F.col(s) - F.col(f"m{k}")), 0.5, ACCURACY).alias(f"a{k}") for k, s in enumerate(keep)),
-        *(F.avg(F.abs(F.col(s) - F.col(f"m{k}"))).alias(f"e{k}") for k, s in enumerate(keep)),
-    )
+    centre = lower_medians(hot_items, "g", keep).withColumnsRenamed({s: f"m{k}" for k, s in enumerate(keep)})
+    lowest = hot_items.groupBy("g").agg(*(F.min(s).alias(f"l{k}") for k, s in enumerate(keep)))
+    first = written(centre.join(lowest, "g"), "fuse-centres")
+    spread = {f"d{k}": F.abs(F.col(s) - F.col(f"m{k}")) for k, s in enumerate(keep)}
+    centred = hot_items.join(F.broadcast(first), "g").withColumns(spread)
+    mads = lower_medians(centred, "g", list(spread)).withColumnsRenamed({d: f"a{k}" for k, d in enumerate(spread)})
+    means = centred.groupBy("g").agg(*(F.avg(d).alias(f"e{k}") for k, d in enumerate(spread)))
+    second = written(mads.join(means, "g"), "fuse-spreads")
     heavy = centred.join(F.broadcast(second), "g").withColumns(z).withColumns({"log": log, "plain": plain})
     heavy = positions(heavy.select("g", "i", *keep, "log", "plain"), "g", order, "position")
     return Fused(light, named(heavy), names)
