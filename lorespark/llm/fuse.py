@@ -70,9 +70,10 @@ def fuse_scores(
     (the mean absolute deviation replaces a MAD of zero; a constant score gives 0), a logistic curve
     squashes that into (0, 1), and the weighted geometric mean of the squashed values orders the
     group. A missing value stands low: at -3, or with the group's lowest. The fused value never
-    falls when a score rises; medians are exact, of an even number of values the lower. Ties go to the higher mean of the unsquashed values, then to the
-    smaller item. Rows without group or item are left out; an empty table gives no rows; other
-    columns of df are ignored.
+    falls when a score rises. Medians are exact; of an even number of values they are the lower.
+    Logarithms of fused values are compared to 12 decimals, so that the order of summing does not
+    matter; ties go to the higher mean of the unsquashed values, then to the smaller item. Rows
+    without group or item are left out; an empty table gives no rows; other columns of df are ignored.
 
     Columns: group, item, the scores, fused (the geometric mean), position (1 is best). Groups of
     ``hot_rows`` rows and more are not windowed in one task: they are aggregated under their full
