@@ -25,7 +25,8 @@ from lorespark.functions import payload
 from lorespark.functions.stem import index_tokens, index_tokens_udf
 from lorespark.operators import fusion, graph, predicates, providers, records, text, vector
 from lorespark.operators.predicates import Filter, ReadView, SearchFilter, checked_limit
-from lorespark.runtime import prepare
+from lorespark.operators.skew import positions
+from lorespark.runtime import prepare, written
 from lorespark.sources.store import Store
 
 TABLES = {
@@ -202,8 +203,6 @@ class Engine:
             raise WriteValidationError("the table holds invalid rows")
         manifest = self.store.manifest()
         # Dense cursors without a global sort: rows are written once with their partition and place, then shifted.
-        from lorespark.runtime import written
-
         placed = written(df.withColumn("__at", F.monotonically_increasing_id()), "write")
         part = F.shiftright("__at", 33)
         sizes = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
@@ -431,9 +430,10 @@ class Engine:
             live = graph.live_edges(self.edges(manifest), now)
             facts = live.select(F.col("write_cursor").alias("id"), "body", F.lit("edge_fact").alias("kind"), "source_id", "logical_id",
                                 F.lit(None).cast("double").alias("importance"), "confidence")
-            ranked = text.top(self._lexical(facts.select("id", "body"), query), 10**9).join(facts.drop("body"), "id")
+            scored = self._lexical(facts.select("id", "body"), query)  # all of them count, so one task must not rank them
+            ranked = positions(scored, "qid", [F.col("score").desc(), F.col("id")], "rank").join(facts.drop("body"), "id")
             last = hits.count()  # at most TEXT_CANDIDATES
-            out = out.unionByName(ranked.withColumn("rank", F.col("rank") + last).withColumn("branch", F.lit("text_edge")))
+            out = out.unionByName(ranked.withColumn("rank", (F.col("rank") + last).cast("int")).withColumn("branch", F.lit("text_edge")))
         return out
 
     def search(
@@ -571,8 +571,6 @@ class Engine:
         """Facts a provider finds in documents(source_doc_id, body), checked, then written as edges and entity nodes."""
         kinds = ("source_doc_id string, from_kind string, from_name string, to_kind string, to_name string, kind string, body string, "
                  "t_valid string, t_invalid string, confidence double, model string")
-        from lorespark.runtime import written
-
         facts = written(providers.run_extractor(documents, provider, kinds), "facts")
         edges, rejected = providers.extracted_edges(facts)
         bad = rejected.count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorespark.operators import graph as G
+from lorespark.operators import text as T
 from lorespark.plans.canonical import EDGE_NOW, EDGES_SQL, edges, read
 
 Q, SQL = {}, {}
@@ -119,6 +120,20 @@ def _(spark, sf):
     return names.groupBy("id").agg(F.round(F.greatest(F.ln(F.lit(total + 1) / (F.count(F.lit(1)) + 0.5)), F.lit(1e-6)), 9).alias("weight"))
 
 
+@query("graph_seeding", f"""WITH {EDGES_SQL}, {_ARM_LIVE}, d AS (SELECT write_cursor AS id, regexp_extract_all(lower(body), '[a-z0-9]+') AS terms FROM live),
+one AS (SELECT unnest(['click', '69', '17']) AS term), st AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM d), o AS (SELECT id, len(terms) AS dl, unnest(terms) AS term FROM d),
+t AS (SELECT id, dl, term, count(*) AS tf FROM o WHERE term IN (SELECT term FROM one) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+s AS (SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) AS score FROM t JOIN f USING (term), st GROUP BY id),
+h AS (SELECT id FROM s ORDER BY score DESC, id LIMIT 10) SELECT DISTINCT unnest([from_id, to_id]) AS id FROM live WHERE write_cursor IN (SELECT id FROM h)""")
+def _(spark, sf):
+    """The ends of the ten facts that match a query best."""
+    live = G.live_edges(edges(spark, sf), EDGE_NOW, fallback=False)
+    asked = spark.createDataFrame([(1, ["click", "69", "17"])], "qid int, terms array<string>")
+    docs = live.select(F.col("write_cursor").alias("id"), T.words(F.col("body"), T.HARNESS_WORD).alias("terms"))
+    best = T.top(T.bm25(docs, asked), 10).select(F.col("id").alias("write_cursor"))
+    return live.join(best, "write_cursor", "left_semi").select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+
+
 def queries() -> dict:
     return dict(Q)
 

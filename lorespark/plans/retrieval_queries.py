@@ -8,7 +8,8 @@ from lorespark.operators import fusion as FU
 from lorespark.operators import text as T
 from lorespark.operators import vector as V
 from lorespark.operators.predicates import ReadView
-from lorespark.plans.canonical import VECTORS_SQL, nodes, read, vectors
+from lorespark.operators.skew import positions
+from lorespark.plans.canonical import EDGES_SQL, VECTORS_SQL, edges, nodes, read, vectors
 
 Q, SQL = {}, {}
 
@@ -360,6 +361,69 @@ def _(spark, sf):
     return parts[0].join(parts[1], ["qid", "doc"]).join(parts[2], ["qid", "doc"])
 
 
+# -- nodes and facts together, three arms, clusters ---------------------------------------------
+
+_WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
+_ONE = ["calendar", "archive", "click", "topic"]
+
+
+def _single_sql(name: str, rows: str) -> str:
+    """CTEs that score rows (id, body) for the one query."""
+    return f"""{name}d AS (SELECT id, body, {_WORDS.format('body')} AS terms FROM ({rows})),
+{name}s AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM {name}d), {name}o AS (SELECT id, len(terms) AS dl, unnest(terms) AS term FROM {name}d),
+{name}t AS (SELECT id, dl, term, count(*) AS tf FROM {name}o WHERE term IN (SELECT term FROM one) GROUP BY ALL), {name}f AS (SELECT term, count(*) AS df FROM {name}t GROUP BY term),
+{name}r AS (SELECT id, body, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(sum({_FLOORED} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) AS score
+  FROM {name}t JOIN {name}f USING (term), {name}s GROUP BY id) JOIN {name}d USING (id))"""
+
+
+@query("text_only", f"""WITH {EDGES_SQL}, one AS (SELECT unnest({_ONE}) AS term),
+{_single_sql('n', "SELECT DISTINCT write_cursor AS id, body FROM canonical_nodes WHERE superseded_at IS NULL AND state = 'active'")},
+{_single_sql('e', "SELECT write_cursor AS id, body FROM edges WHERE superseded_at IS NULL")},
+u AS (SELECT 'text' AS branch, id, body, rank FROM nr WHERE rank <= 100 UNION ALL SELECT 'text_edge', id, body, rank + least(100, (SELECT count(*) FROM nr)) FROM er),
+b AS (SELECT body, min(rank) AS r, arg_min(id, rank) AS id, arg_min(branch, rank) AS branch FROM u GROUP BY body)
+SELECT id, branch, round(1 / (30.0 + r), 9) AS score, CAST(p AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY r) AS p FROM b) WHERE p <= 100""")
+def _(spark, sf):
+    """Current nodes, at most 100, then all matching facts; one row per body; the first 100."""
+    asked = spark.createDataFrame([(1, _ONE)], "qid int, terms array<string>")
+    n = nodes(spark, sf).where(ReadView().existence()).select(F.col("write_cursor").alias("id"), "body").distinct()
+    e = edges(spark, sf).where("superseded_at IS NULL").select(F.col("write_cursor").alias("id"), "body")
+    parts = []
+    for rows, branch in ((n, "text"), (e, "text_edge")):
+        hits = T.bm25(rows.select("id", T.words(F.col("body")).alias("terms")), asked).join(rows.withColumnRenamed("body", "key"), "id")
+        parts.append(hits.withColumn("branch", F.lit(branch)))
+    first = T.top(parts[0], 100)
+    last = first.count()  # at most 100
+    # All matching facts have a place in the list, so their ranks come from a range sort, not from one task.
+    facts = positions(parts[1], "qid", [F.col("score").desc(), F.col("id")], "rank").withColumn("rank", (F.col("rank") + last).cast("int"))
+    rows = first.unionByName(facts).groupBy("qid", "key").agg(F.min(F.struct("rank", "id", "branch")).alias("b"))
+    ranked = T.top(rows.select("qid", F.col("b.rank").alias("r"), "b.id", "b.branch"), 100, order=(F.col("r"),))
+    return ranked.select("id", "branch", F.round(1 / (30.0 + F.col("r")), 9).alias("score"), "rank")
+
+
+@query("rrf_three_arm", f"""WITH {_ARMS}, hnear AS (SELECT q.write_cursor AS qid, m.write_cursor AS id, {_HAM.format('0')} AS distance FROM vectors q, vectors m WHERE q.write_cursor % 100 = 0),
+hr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM hnear),
+harm AS (SELECT qid, key, min((rank, id)) AS b FROM hr JOIN body USING (id) WHERE rank <= 100 GROUP BY ALL),
+p AS (SELECT qid, key, 0 AS arm, b[1] AS r, b[2] AS id, 1.0 AS w FROM varm UNION ALL SELECT qid, key, 1, b[1], b[2], 3.0 FROM tarm UNION ALL SELECT qid, key, 2, b[1], b[2], 1.0 FROM harm),
+g AS (SELECT qid, key, round(sum(w / (30.0 + r)), 9) AS score, min((arm, r, id)) AS s FROM p GROUP BY qid, key)
+SELECT qid, s[3] AS id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, s[1], s[2], s[3]) AS INTEGER) AS rank FROM g""")
+def _(spark, sf):
+    near, lexical = _arm_rows(spark, sf)
+    body = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("key"))
+    bits = V.nearest(_vec(spark, sf), _qvec(spark, sf), 100, "hamming").select("qid", "id", "rank").join(body, "id")
+    return FU.rrf([FU.Arm("vector", near, 1.0), FU.Arm("text", lexical, 3.0), FU.Arm("bits", bits, 1.0)]).select("qid", "id", "score", "rank")
+
+
+@query("coverage_clusters", f"WITH {VECTORS_SQL}, c0 AS (SELECT write_cursor AS cluster, v FROM vectors WHERE write_cursor < 10), {', '.join(_STEP.format(i, i + 1) for i in range(4))}, "
+       "near AS (SELECT q.write_cursor AS qid, c4.cluster AS id, round(1 - list_cosine_similarity(q.v, c4.v), 9) AS distance FROM vectors q, c4 WHERE q.write_cursor % 100 = 0) " + _NRANK.format("near", 3))
+def _(spark, sf):
+    """The three clusters whose summary vector is nearest to each query."""
+    v = _vec(spark, sf)
+    found = V.lloyd(v, v.where("id < 10").select(F.col("id").alias("cluster"), "v"), 3)
+    means = found.join(v, "id").select("cluster", F.posexplode("v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x").alias("x"))
+    summaries = means.groupBy(F.col("cluster").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("v"))
+    return _out(V.nearest(summaries, _qvec(spark, sf), 3, "cosine"))
+
+
 def queries() -> dict:
     return dict(Q)
 
