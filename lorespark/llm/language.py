@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,11 +42,12 @@ SWITCH = 9.0
 #: A stretch whose best language beats the next by less than this probability is called ambiguous.
 CLEAR = 0.9
 
-_SENTENCE = regex.compile(r"[^\n]+?(?:(?<=[.!?…][\"'”’»)\]]?)(?=\s)|(?<=[。！？][」』）]?)(?![」』）])|(?=\n)|\Z)")
+_END = re.compile("""\\n|[.!?…]["'”’»)\\]]?(?=[^\\S\\n])|[。！？]+[」』）]?""")
 #: Links, addresses, code, and words with digits or signs inside say nothing of the language.
 _SPACED = r"[^\s\p{Han}\p{Hiragana}\p{Katakana}"
 _SIGNS = r"\d_=\\/<>{}@#"
 _NOISE = regex.compile(rf"\bwww\.\S+|`[^`\n]*+`|(?<!{_SPACED}])(?={_SPACED}{_SIGNS}]*+[{_SIGNS}]){_SPACED}]++")
+_MAYBE_NOISE = re.compile(r"[\d_=\\/<>{}@#`]|www\.")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _FENCED = regex.compile(r"^[ \t]*+(```|~~~).*?(?:^[ \t]*+\1[^\S\n]*+$|\Z)", regex.M | regex.S)
 _NAMES = regex.compile(r"(?:[^\p{L}]*+\p{Lu}[\p{Ll}\p{M}]++)++[^\p{L}]*+")
@@ -87,12 +89,21 @@ def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sentences and lines of a text; blank ones and fenced code are left out."""
     if "```" in text or "~~~" in text:
         text = _FENCED.sub(lambda m: regex.sub(r"[^\n]", " ", m[0]), text)
-    return [m.span() for m in _SENTENCE.finditer(text) if not m[0].isspace()]
+    out, start = [], 0
+    for m in _END.finditer(text):
+        a, b = m.span()
+        end = a if text[a] == "\n" else b
+        if end > start and not text[start:end].isspace():
+            out.append((start, end))
+        start = b
+    if start < len(text) and not text[start:].isspace():
+        out.append((start, len(text)))
+    return out
 
 
 def letters(sentence: str) -> str:
     """What of a sentence is language: lower-case words between single spaces; empty if it has none."""
-    words = _WORD.findall(_NOISE.sub(" ", sentence))
+    words = _WORD.findall(_NOISE.sub(" ", sentence) if _MAYBE_NOISE.search(sentence) else sentence)
     return f" {' '.join(words).lower()} " if words else ""
 
 
@@ -103,38 +114,30 @@ def whole(sentence: str, words: str) -> bool:
     return len(words) - 2 >= LEAST_UNSPACED and bool(_UNSPACED.search(words))
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed n-grams, index of their text), in the order of the texts."""
+def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashed n-grams, index of their text) for each order and for whole words, in the order of the texts."""
     chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
-    if not len(chars):
-        return np.empty(0, np.int64), np.empty(0, np.int32)
     mul, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - HASH_BITS)
-    hashes, owners, rolling = [], [], np.zeros(len(chars), dtype=np.uint64)
+    rolling = np.zeros(len(chars), dtype=np.uint64)
     for n in range(1, max(ORDERS) + 1):
         m = len(chars) - n + 1
         if m <= 0:
-            break
+            return
         rolling = (rolling[:m] ^ chars[n - 1 : n - 1 + m]) * mul + np.uint64(n)
         rolling ^= rolling >> np.uint64(29)
         good = of[:m] == of[n - 1 : n - 1 + m]
         if n == 1:
-            good = good & (chars != 32)
-        hashes.append(((rolling * mul) >> shift)[good])
-        owners.append(of[:m][good])
-    # Whole words: the sum of position-independent character hashes, with their length and first letters.
-    space = chars == 32
-    edge = np.flatnonzero(space)
+            good &= chars != 32
+        yield ((rolling * mul) >> shift)[good].astype(np.int64), of[:m][good]
+    # Whole words: the sum of their characters' hashes, with their length and first letter.
+    edge = np.flatnonzero(chars == 32)
     mixed = np.cumsum((chars * mul) ^ ((chars * mul) >> np.uint64(31)))
     a, b = edge[:-1], edge[1:]
     good = (b > a + 1) & (of[a] == of[b])
     a, b = a[good], b[good]
     word = (mixed[b - 1] - mixed[a]) * mul + (chars[a + 1] * np.uint64(31) + (b - a).astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    hashes.append((word * mul) >> shift)
-    owners.append(of[a])
-    hashed, owner = np.concatenate(hashes).astype(np.int64), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return hashed[order], owner[order]
+    yield ((word * mul) >> shift).astype(np.int64), of[a]
 
 
 @dataclass(frozen=True)
@@ -164,10 +167,10 @@ class LanguageModel:
             for k in range(0, len(texts[0]), _BLOCK):
                 margins += self._margins([texts[0][k : k + _BLOCK]])
             return margins
-        hashed, owner = features(texts)
-        if len(hashed):
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            margins[owner[starts]] = np.add.reduceat(self.weights[hashed], starts, axis=0)
+        for hashed, owner in features(texts):
+            if len(hashed):
+                starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                margins[owner[starts]] += np.add.reduceat(self.weights.take(hashed, axis=0), starts, axis=0)
         return margins * self.scale
 
     def _decode(self, margins: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -182,7 +185,7 @@ class LanguageModel:
         Every round after the first drops the sentences that the model before it gives to another
         language, so wrong labels and foreign sentences do not stay in.
         """
-        hashed, owner = features(texts)
+        hashed, owner = (np.concatenate(x) for x in zip(*features(texts)))
         size, code = 1 << HASH_BITS, codewords()
         labels, keep = np.asarray(labels), np.ones(len(texts), dtype=bool)
         held = np.arange(len(texts)) % 5 == 4
