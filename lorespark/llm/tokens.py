@@ -84,8 +84,8 @@ def encode_corpus(
     """(key, ids): the token ids of each text, without special tokens; or (key, tokens) with ``count_only``.
 
     The empty and the NULL text have the empty list. Strings that look like special tokens are
-    ordinary text. Keys must be unique (NULL once at most); one row comes out per row of df; an
-    empty table gives no rows; other columns are ignored.
+    ordinary text. One row comes out per row of df, also of repeated keys, repeated rows and NULL keys;
+    an empty table gives no rows; other columns are ignored.
 
     Texts of up to ``chunk_chars`` characters are encoded as they are. A longer one is cut into
     overlapping chunks, which are pre-tokenised in parallel. In the overlap of two neighbours the
@@ -120,27 +120,29 @@ def encode_corpus(
     short = rows.where(~long).mapInArrow(encode, f"k {kind}, {out}")
 
     step = chunk_chars - overlap_chars
+    # A long text is known by its key and a hash of itself; equal rows are worked on once.
+    whole = rows.where(long).groupBy(F.struct("k", F.xxhash64("t").alias("h")).alias("k"), "t").agg(F.count(F.lit(1)).alias("m"))
+    kind_of_long = f"struct<k:{kind},h:bigint>"
     chunks = (
-        rows.where(long)
-        .select("k", "t", F.explode(F.expr(f"sequence(0, greatest(0, length(t) - {overlap_chars} - 1), {step})")).alias("at"))
-        .select("k", (F.col("at") / step).cast("int").alias("c"), "at", F.substring("t", F.col("at") + 1, F.lit(chunk_chars)).alias("t"))
+        whole.select("k", "t", "m", F.explode(F.expr(f"sequence(0, greatest(0, length(t) - {overlap_chars} - 1), {step})")).alias("at"))
+        .select("k", "m", (F.col("at") / step).cast("int").alias("c"), "at", F.substring("t", F.col("at") + 1, F.lit(chunk_chars)).alias("t"))
         .repartition("k", "c")
     )
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, texts = batch.column(2).to_numpy(), batch.column(3).to_pylist()
+            at, texts = batch.column(3).to_numpy(), batch.column(4).to_pylist()
             head, tail = [], []
             for a, t in zip(at, texts):
                 cuts = clean_cuts(t, int(a))
                 head.append(cuts[(cuts > a) & (cuts <= a + overlap_chars)])
                 tail.append(cuts[cuts > a + step])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(2), pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))],
                 names=["k", "c", "head", "tail"],
             )
 
-    found = chunks.mapInArrow(boundaries, f"k {kind}, c int, head array<bigint>, tail array<bigint>")
+    found = chunks.mapInArrow(boundaries, f"k {kind_of_long}, c int, head array<bigint>, tail array<bigint>")
     in_text = Window.partitionBy("k").orderBy("c")
     cuts = (
         found.withColumn("cut", F.array_min(F.array_intersect(F.lag("tail").over(in_text), F.col("head"))))
@@ -151,15 +153,16 @@ def encode_corpus(
     begin = F.coalesce("cut", "at")
     end = F.coalesce("next", F.when(F.col("more").isNotNull(), F.col("at") + step), F.col("at") + chunk_chars)
     parts = chunks.join(cuts.withColumnsRenamed({"k": "k2", "c": "c2"}), F.col("k").eqNullSafe(F.col("k2")) & (F.col("c") == F.col("c2")))
-    parts = parts.select("k", "piece", "c", F.substring("t", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("t"))
-    pieces = parts.groupBy("k", "piece").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("p"))
-    pieces = pieces.select("k", "piece", F.concat_ws("", F.col("p.t")).alias("t"))
-    encoded = pieces.mapInArrow(encode, f"k {kind}, piece bigint, {out}")
+    parts = parts.select("k", "m", "piece", "c", F.substring("t", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("t"))
+    pieces = parts.groupBy("k", "m", "piece").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("p"))
+    pieces = pieces.select("k", "m", "piece", F.concat_ws("", F.col("p.t")).alias("t"))
+    encoded = pieces.mapInArrow(encode, f"k {kind_of_long}, m bigint, piece bigint, {out}")
     if count_only:
-        joined = encoded.groupBy("k").agg(F.sum("ids").cast("int").alias("ids"))
+        joined = encoded.groupBy("k", "m").agg(F.sum("ids").cast("int").alias("ids"))
     else:
         lists = F.sort_array(F.collect_list(F.struct("piece", "ids")))
-        joined = encoded.groupBy("k").agg(F.flatten(F.transform(lists, lambda x: x["ids"])).alias("ids"))
+        joined = encoded.groupBy("k", "m").agg(F.flatten(F.transform(lists, lambda x: x["ids"])).alias("ids"))
+    joined = joined.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).select(F.col("k.k").alias("k"), "ids")
     return short.unionByName(joined).select(F.col("k").alias(key), F.col("ids").alias("tokens" if count_only else "ids"))
 
 

@@ -36,6 +36,13 @@ def test_ids_are_those_of_the_whole_text(spark, chunk, overlap):
         assert {r.doc_id: r.tokens for r in counts} == {i: len(x) for i, x in got.items()}
 
 
+def test_repeated_keys_and_rows(spark):
+    rows = [(1, "ab " * 50), (1, "ab " * 50), (1, "cd " * 60), (None, "ef " * 70), (None, "ef " * 70), (2, "x"), (2, "x"), (None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(((r.doc_id, r.ids) for r in encode_corpus(df, chunk_chars=64, overlap_chars=20).collect()), key=str)
+    assert got == sorted(((i, whole(t)) for i, t in rows), key=str)
+
+
 def test_agrees_with_the_json_form_of_the_vocabulary(spark):
     from tokenizers import Tokenizer as Json
 
