@@ -202,6 +202,7 @@ def changed_since(rows: DataFrame, snapshot, path: str, cursor: str, rest: str,
     """
     store = IncrementalStore(rows.sparkSession, path, cursor, rest, value, order)
     if snapshot is not None:
-        store.publish(store.stage(rows.where(F.col(order) <= F.lit(snapshot))))
+        instant = F.lit(snapshot.isoformat(sep=" ")).cast("timestamp_ntz") if dict(rows.dtypes)[order] == "timestamp_ntz" else F.lit(snapshot)
+        store.publish(store.stage(rows.where(F.col(order) <= instant)))
     found = store.changes(store.stage(rows))
     return found.where(F.col("change") != "removed")

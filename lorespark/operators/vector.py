@@ -102,30 +102,54 @@ def mean_list(vectors: DataFrame, first: int | None = None) -> list[float]:
 def lloyd(vectors: DataFrame, centres: DataFrame, rounds: int) -> DataFrame:
     """(id, cluster) after ``rounds`` of k-means from given centres (cluster, v); an empty cluster keeps its centre.
 
-    Only the centres travel: they are k rows of fixed width.
+    Only the centres travel: k rows of fixed width go out, and each task sends back one sum per
+    cluster and dimension. Rows of NULL vectors are left out.
     """
+    rows = vectors.select("id", "v").where("v IS NOT NULL")
     current = {r.cluster: r.v for r in centres.collect()}
-    assigned = None
-    for step in range(rounds + 1):
-        asked = vectors.sparkSession.sparkContext.broadcast((np.array(list(current)), np.array(list(current.values()))))
 
-        def assign(batches, asked=asked):
-            names, c = asked.value
+    def sent():
+        names = np.array(list(current))
+        return vectors.sparkSession.sparkContext.broadcast((names, np.array([current[c] for c in names.tolist()])))
+
+    def nearest_centre(batch, centre):
+        m = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+        return m, np.round(_distances("l2", m, centre, None), 9).argmin(axis=1)
+
+    for _ in range(rounds):
+        asked = sent()
+
+        def sums(batches, asked=asked):
+            names, centre = asked.value
+            total, count = np.zeros(centre.shape), np.zeros(len(names), dtype=np.int64)
             for batch in batches:
                 if batch.num_rows:
-                    d = np.round(_distances("l2", np.array(batch.column(1).to_pylist(), dtype=np.float64), c, None), 9)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), pa.array(names[d.argmin(axis=1)])], names=["id", "cluster"]
-                    )
-
-        assigned = vectors.select("id", "v").mapInArrow(assign, "id bigint, cluster bigint")
-        if step < rounds:
-            sums = assigned.join(vectors, "id").select("cluster", F.posexplode("v").alias("dim", "x"))
-            moved = sums.groupBy("cluster", "dim").agg(F.avg("x").alias("x")).groupBy("cluster").agg(
-                F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("v")
-            )
-            current |= {r.cluster: r.v for r in moved.collect()}
-    return assigned
+                    m, own = nearest_centre(batch, centre)
+                    np.add.at(total, own, m)
+                    count += np.bincount(own, minlength=len(names))
+            dims = centre.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(names, dims)), pa.array(np.tile(np.arange(dims, dtype=np.int32), len(names))),
+                    pa.array(total.ravel()), pa.array(np.repeat(count, dims)),
+                ],
+                names=["cluster", "dim", "s", "n"],
+            )
+
+        moved = rows.mapInArrow(sums, "cluster bigint, dim int, s double, n bigint").groupBy("cluster", "dim").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        for r in moved.where("n > 0").groupBy("cluster").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("dim", (F.col("s") / F.col("n")).alias("x")))), lambda p: p["x"]).alias("v")
+        ).collect():
+            current[r.cluster] = r.v
+    asked = sent()
+
+    def assign(batches, asked=asked):
+        names, centre = asked.value
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[nearest_centre(batch, centre)[1]])], names=["id", "cluster"])
+
+    return rows.mapInArrow(assign, "id bigint, cluster bigint")
 
 
 def default_clusters(n: int) -> int:

@@ -23,7 +23,7 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """Users' events as facts (user, event type, topic), later ones ending earlier ones."""
-    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")  # whatever the session's zone
     topic = F.get_json_object("props", "$.k")
     df = read(spark, sf, "events").select(
         (F.col("event_id") + 1).alias("write_cursor"),
