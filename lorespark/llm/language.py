@@ -47,6 +47,9 @@ _END = re.compile("""\\n|[.!?…]["'”’»)\\]]?(?=[^\\S\\n])|[。！？]+[」
 _SPACED = r"[^\s\p{Han}\p{Hiragana}\p{Katakana}"
 _SIGNS = r"\d_=\\/<>{}@#"
 _NOISE = regex.compile(rf"\bwww\.\S+|`[^`\n]*+`|(?<!{_SPACED}])(?={_SPACED}{_SIGNS}]*+[{_SIGNS}]){_SPACED}]++")
+_NO_SPACES = re.compile("[\u2e80-\ua4cf\uf900-\ufaff\uff00-\uffef\U0001b000-\U0001b16f\U00020000-\U0003ffff]")  # where words may have none between
+_SIGN = re.compile(r"[\d_=\\/<>{}@#]")
+_ASCII_WORD = re.compile("[A-Za-z]+")
 _MAYBE_NOISE = re.compile(r"[\d_=\\/<>{}@#`]|www\.")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _FENCED = regex.compile(r"^[ \t]*+(```|~~~).*?(?:^[ \t]*+\1[^\S\n]*+$|\Z)", regex.M | regex.S)
@@ -103,7 +106,12 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def letters(sentence: str) -> str:
     """What of a sentence is language: lower-case words between single spaces; empty if it has none."""
-    words = _WORD.findall(_NOISE.sub(" ", sentence) if _MAYBE_NOISE.search(sentence) else sentence)
+    if _MAYBE_NOISE.search(sentence):
+        if "`" in sentence or "www." in sentence or _NO_SPACES.search(sentence):
+            sentence = _NOISE.sub(" ", sentence)
+        else:  # the same, word by word
+            sentence = " ".join([w for w in sentence.split() if not _SIGN.search(w)])
+    words = _ASCII_WORD.findall(sentence) if sentence.isascii() else _WORD.findall(sentence)
     return f" {' '.join(words).lower()} " if words else ""
 
 
@@ -174,9 +182,9 @@ class LanguageModel:
         return margins * self.scale
 
     def _decode(self, margins: np.ndarray, code: np.ndarray) -> np.ndarray:
-        signed = margins[:, None, :] * code[None, :, :]
-        loss = np.logaddexp(0, -signed)
-        return (loss * self.trust).sum(axis=2)
+        """ln(1 + exp(-code * margin)) of every bit, weighted and summed; bits are only ever 1 or -1."""
+        if_one, if_not = np.logaddexp(0, -margins) * self.trust, np.logaddexp(0, margins) * self.trust
+        return if_one @ (code > 0).T.astype(np.float32) + if_not @ (code < 0).T.astype(np.float32)
 
     @classmethod
     def fit(cls, texts: list[str], labels: np.ndarray, rounds: int = 3) -> LanguageModel:
