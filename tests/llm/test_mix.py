@@ -73,3 +73,20 @@ def test_empty_and_refused(spark):
     assert [(r.source, r.status, r.actual_tokens) for r in mix.report.collect()] == [("a", "short", 0)]
     with pytest.raises(ValueError):
         mix_sources(df, [Target("a", 0.5, 1), Target("a", 0.5, 1)])
+
+
+def test_clashing_columns_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b c", ["s"]), (1, "d e f", ["s", "s"]), (1, "d e f", ["s"]), (2, None, ["s"]), (3, "x", ["t"])]
+    df = spark.createDataFrame([(*r, 1, "z", 2, 3) for r in rows], SCHEMA + ", k int, p string, n int, source int")
+    mix = mix_sources(df, [Target("s", 0.5, 2), Target("t", 0.5, 1)])
+    got = [(r.doc_id, r.source, r.uses) for r in mix.documents.collect()]
+    assert {d for d, *_ in got} <= {None, 1, 3} and all(u <= 2 for *_, u in got)
+    assert {r.source: r.status for r in mix.report.collect()}["t"] == "short"
+
+
+def test_hot_source_keeps_its_share(spark):
+    rows = [(i, "word " * (1 + i % 7), ["hot"] if i % 3 else [f"s{i % 5}"]) for i in range(3000)]
+    targets = [Target("hot", 0.2, 1)] + [Target(f"s{k}", 0.16, 9) for k in range(5)]
+    report = {r.source: r for r in mix_sources(spark.createDataFrame(rows, SCHEMA).repartition(8), targets).report.collect()}
+    assert abs(report["hot"].actual_share - 0.2) < 0.005 and report["hot"].most_uses == 1
+    assert all(abs(report[f"s{k}"].actual_share - 0.16) < 0.005 for k in range(5))
