@@ -459,7 +459,7 @@ class Engine:
         vectors = self.store.table("vectors", manifest).join(nodes.select("write_cursor"), "write_cursor", "left_semi")
         asked = self.spark.createDataFrame([(0, self.embed(query))], "qid bigint, v array<double>")
         all_vectors = vectors.select(F.col("write_cursor").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-        near = vector.two_phase(all_vectors, asked, max(limit, TEXT_CANDIDATES))
+        near = vector.nearest(all_vectors, asked, max(limit, TEXT_CANDIDATES))
         meta = nodes.select(F.col("write_cursor").alias("id"), F.col("body").alias("key"), "kind", "source_id", "logical_id", "importance")
         dense = near.join(meta, "id").withColumn("qid", F.lit(0))
         arms = [fusion.Arm("vector", dense.select("qid", "key", "id", "rank"), fusion.ARM_WEIGHTS["vector"]),

@@ -81,7 +81,10 @@ def nearest(
 
 
 def two_phase(vectors: DataFrame, queries: DataFrame, k: int, mean: list[float] | None = None, candidates: int = CANDIDATES) -> DataFrame:
-    """(qid, id, distance, rank): sign-bit candidates, reranked by exact distance."""
+    """(qid, id, distance, rank): sign-bit candidates, reranked by exact distance.
+
+    The number of candidates is fixed, so recall falls as the table grows; ``nearest`` misses none.
+    """
     near = nearest(vectors, queries, max(candidates, k), "hamming", mean).select("qid", "id")
     pairs = near.join(vectors.select("id", "v"), "id").join(queries.select("qid", F.col("v").alias("q")), "qid")
     square = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorespark.engine import Engine, ProjectionSpec
 from lorespark.errors import (
@@ -192,3 +193,25 @@ def test_admin(engine):
     probes = ["one two", "three"]
     assert engine.admin.verify_embedder(probes, [engine.embed(p) for p in probes])["equivalent"]
     assert engine.report()["embedder"] == "hashing-64"
+
+
+class _Points:
+    """Embeds a text of numbers as those numbers."""
+
+    identity, dim = "points-2", 2
+
+    def embed(self, value):
+        return [float(x) for x in value.split()]
+
+    def column(self, name):
+        return F.transform(F.split(name, " "), lambda x: x.cast("double"))
+
+
+def test_search_keeps_a_near_row_behind_many_of_equal_signs(spark):
+    """One row lies closest but differs in a sign; 200 far ones have the query's signs and would fill a fixed list of candidates."""
+    engine = Engine.open(spark, scratch_path(spark, "engine"), embedder=_Points(), clock=lambda: 1_500)
+    engine.write([node(f"far{i}", f"{50 + i} {50 + i}") for i in range(200)] + [node("near", "1 -0.01")])
+    engine.drain()
+    got = engine.search("1 0.01", limit=3)
+    first = got.arms["vector"].where("rank = 1").first()
+    assert first.key == "1 -0.01" and got.arms["vector"].count() == 100

@@ -167,3 +167,16 @@ def test_payload_schema():
     for bad in ({"pattern": "(a+)+"}, {"$ref": "#/x"}, []):
         with pytest.raises(ValueError):
             check_schema(bad)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_the_exact_arm(spark, scale):
+    """The arm that Engine.search uses finds at least 0.9 of the true ten, however many rows there are."""
+    rows = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    got = {}
+    for r in vector.nearest(rows, rows.where("id % 100 = 0").select(F.col("id").alias("qid"), "v"), 10).collect():
+        got.setdefault(r.qid, set()).add(r.id)
+    m = {r.id: np.array(r.v) for r in rows.collect()}
+    for q, found in got.items():
+        d = {i: round(float(np.linalg.norm(x - m[q])), 9) for i, x in m.items()}
+        assert len(found & set(sorted(d, key=lambda i: (d[i], i))[:10])) >= 9
