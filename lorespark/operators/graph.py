@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorespark.errors import InvalidLimitError
 from lorespark.operators.predicates import checked_limit
-from lorespark.runtime import written
+from lorespark.runtime import filesystem, scratch_path, written
 
 CAP = 50
 MOST_HOPS = 3
@@ -106,36 +108,46 @@ def entity_graph(mentions: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, restart: DataFrame, rounds: int = 20, alpha: float = 0.85, tolerance: float | None = None) -> DataFrame:
-    """(id, score): personalised PageRank over directed (a, b, w) from restart (id, weight).
+    """(id, score): personalised PageRank over directed (a, b, w) from restart (id, weight), with the nodes of score 0."""
+    found = pagerank_by_query(edges, restart.withColumn("qid", F.lit(0)), rounds, alpha, tolerance)
+    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).union(restart.select("id")).distinct()
+    return ids.join(found.drop("qid"), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def pagerank_by_query(edges: DataFrame, restart: DataFrame, rounds: int = 20, alpha: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """(qid, id, score): personalised PageRank over directed (a, b, w) of each query from its own restart (qid, id, weight).
 
     Weights leaving a node share its score; a node nothing leaves gives its score back to the
-    restart nodes. It stops after ``rounds``, or when the scores move by less than ``tolerance`` in
-    total. Edges are joined once per round; scores are written every few rounds, which keeps the
-    plan short and survives lost executors.
+    restart nodes. It stops after ``rounds``, or when the scores of no query move by ``tolerance``
+    or more in total; if ``tolerance`` is not met by then, it warns. Nodes not reached have no row.
+    Scores are written every round, which keeps the plan short and survives lost executors; those of
+    the round before are removed.
     """
-    total = restart.agg(F.sum("weight")).first()[0] or 1.0
-    start = restart.groupBy("id").agg((F.sum("weight") / F.lit(total)).alias("p"))
+    spark = edges.sparkSession
+    total = restart.groupBy("qid").agg(F.sum("weight").alias("total"))
+    start = restart.groupBy("qid", "id").agg(F.sum("weight").alias("weight")).join(total, "qid")
+    start = written(start.select("qid", "id", (F.col("weight") / F.col("total")).alias("p")), "pagerank-start")
     out = edges.groupBy("a").agg(F.sum("w").alias("out"))
-    shares = edges.join(out, "a").select("a", "b", (F.col("w") / F.col("out")).alias("share"))
-    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).union(start.select("id")).distinct()
-    base = written(
-        ids.join(start, "id", "left").join(out.select(F.col("a").alias("id"), F.lit(1).alias("leads")), "id", "left").select(
-            "id", F.coalesce("p", F.lit(0.0)).alias("p"), F.col("leads").isNull().alias("ends")
-        ),
-        "pagerank-nodes",
-    )
-    shares = written(shares, "pagerank-edges")
-    scores = base.select("id", F.col("p").alias("score"))
-    for k in range(rounds):
-        lost = scores.join(base.where("ends"), "id").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        came = scores.join(shares, scores["id"] == shares["a"]).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("c"))
-        nxt = base.join(came, "id", "left").select(
-            "id", (alpha * (F.coalesce("c", F.lit(0.0)) + F.lit(lost) * F.col("p")) + (1 - alpha) * F.col("p")).alias("score")
-        )
-        nxt = written(nxt, "pagerank")
+    shares = written(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("out")).alias("share")), "pagerank-edges")
+    scores, last = start.select("qid", "id", F.col("p").alias("score")), None
+    for _ in range(rounds):
+        came = scores.join(shares, scores["id"] == shares["a"]).groupBy("qid", F.col("b").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("c"))
+        led = came.groupBy("qid").agg(F.sum("c").alias("led"))  # a query's scores sum to 1: what was not led on goes back
+        back = start.join(led, "qid", "left").select("qid", "id", (F.col("p") * (1 - alpha * F.coalesce("led", F.lit(0.0)))).alias("score"), F.lit(0.0).alias("old"))
+        nxt = came.select("qid", "id", (alpha * F.col("c")).alias("score"), F.lit(0.0).alias("old")).unionByName(back)
+        nxt = nxt.unionByName(scores.select("qid", "id", F.lit(0.0).alias("score"), F.col("score").alias("old")))
+        path = scratch_path(spark, "pagerank")
+        nxt.groupBy("qid", "id").agg(F.sum("score").alias("score"), F.sum("old").alias("old")).write.parquet(path)
+        nxt = spark.read.parquet(path)
+        scores = nxt.select("qid", "id", "score")
+        if last is not None:
+            fs, place = filesystem(spark, last)
+            fs.delete(place, True)
+        last = path
         if tolerance is not None:
-            moved = nxt.join(scores.withColumnRenamed("score", "old"), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+            moved = nxt.groupBy("qid").agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("m")).agg(F.max("m")).first()[0]
             if (moved or 0.0) < tolerance:
-                return nxt
-        scores = nxt
+                return scores
+    if tolerance is not None:
+        warnings.warn(f"PageRank has not converged to {tolerance} in {rounds} rounds", stacklevel=2)
     return scores

@@ -106,9 +106,18 @@ it0 AS (SELECT id, p AS score FROM base), """ + ", ".join(
   FROM base LEFT JOIN (SELECT b AS id, sum(score * share) AS c FROM it{k} JOIN s ON it{k}.id = s.a GROUP BY b) USING (id))""" for k in range(4))
        + " SELECT id, round(score, 9) AS score FROM it4")
 def _(spark, sf):
+    return G.pagerank(*_ppr(spark, sf), 4).select("id", F.round("score", 9).alias("score"))
+
+
+def _ppr(spark, sf):
     e = edges(spark, sf).where("superseded_at IS NULL").groupBy(F.col("from_id").alias("a"), F.col("to_id").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    restart = _roots(spark, sf).select(F.col("root").alias("id"), F.lit(1.0).alias("weight"))
-    return G.pagerank(e, restart, 4).select("id", F.round("score", 9).alias("score"))
+    return e, _roots(spark, sf).select(F.col("root").alias("id"), F.lit(1.0).alias("weight"))
+
+
+@query("ppr_converged")
+def _(spark, sf):
+    """The same PageRank run until the scores move by less than 1e-6 in total."""
+    return G.pagerank(*_ppr(spark, sf), 1_000, tolerance=1e-6).select("id", F.round("score", 9).alias("score"))
 
 
 @query("ppr_seed_weights", """WITH d AS (SELECT DISTINCT doc_id, lower(trim(n)) AS n FROM (SELECT doc_id, unnest(people_mentions) AS n FROM corpus_docs) WHERE trim(n) <> ''),

@@ -143,6 +143,43 @@ def test_pagerank_sums_to_one(spark):
     assert abs(sum(got.values()) - 1) < 1e-6 and got["a"] > got["b"] > got["c"] > 0
 
 
+def exact_pagerank(edges, restart, alpha=0.85):
+    """Scores by solving the linear system, apart from the rounds."""
+    ids = sorted({x for a, b, _ in edges for x in (a, b)} | set(restart))
+    at, n = {x: i for i, x in enumerate(ids)}, len(ids)
+    step, p = np.zeros((n, n)), np.zeros(n)
+    for a, b, w in edges:
+        step[at[b], at[a]] += w
+    for x, w in restart.items():
+        p[at[x]] = w / sum(restart.values())
+    out = step.sum(0)
+    step = np.where(out > 0, step / np.where(out > 0, out, 1), p[:, None])
+    return dict(zip(ids, np.linalg.solve(np.eye(n) - alpha * step, (1 - alpha) * p), strict=True))
+
+
+def test_pagerank_of_several_queries_converges(spark):
+    rows = [("a", "b", 1.0), ("b", "c", 2.0), ("b", "a", 1.0), ("c", "end", 1.0), ("a", "end", 3.0), ("other", "c", 1.0)]
+    starts = {1: {"a": 3.0, "z": 1.0}, 2: {"c": 1.0, "other": 1.0}}
+    restart = spark.createDataFrame([(q, i, w) for q, x in starts.items() for i, w in x.items()], "qid int, id string, weight double")
+    got = graph.pagerank_by_query(spark.createDataFrame(rows, "a string, b string, w double"), restart, 200, tolerance=1e-6).collect()
+    for q, x in starts.items():
+        want, mine = exact_pagerank(rows, x), {r.id: r.score for r in got if r.qid == q}
+        assert all(abs(mine.get(i, 0.0) - v) < 1e-5 for i, v in want.items())
+
+
+def test_registered_pagerank_is_converged(spark, sf):
+    from lorespark.plans.graph_queries import Q, _ppr
+
+    edges, restart = (x.collect() for x in _ppr(spark, sf))
+    want = exact_pagerank([(r.a, r.b, r.w) for r in edges], {r.id: r.weight for r in restart})
+    got = {r.id: r.score for r in Q["ppr_converged"](spark, sf).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-5
+    short = {r.id: r.score for r in Q["ppr_rounds"](spark, sf).collect()}
+    topics = [sum(v for i, v in x.items() if i.startswith("t:")) for x in (short, got, want)]
+    print("mass of topics after 4 rounds, converged, exact", topics)
+    assert abs(topics[1] - topics[2]) < 1e-5 < abs(topics[0] - topics[2])
+
+
 def test_kendall_and_bootstrap(spark):
     rng = random.Random(4)
     rows = [(g, i, rng.randrange(1000), rng.random()) for g in "xy" for i in range(40)]
