@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lorespark.errors import InvalidLimitError
 from lorespark.operators.predicates import checked_limit
+from lorespark.operators.skew import positions
 from lorespark.runtime import filesystem, scratch_path, written
 
 CAP = 50
@@ -107,6 +108,34 @@ def entity_graph(mentions: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(F.countDistinct("doc").alias("n"))
 
 
+def seed_weights(members: DataFrame, passages: int, best: DataFrame) -> DataFrame:
+    """(qid, id, weight): the names in a query's best passages, weighed by how few passages have them.
+
+    members: doc, id (name), distinct. best: qid, doc.
+    """
+    df = members.groupBy("id").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.greatest(F.ln(F.lit(passages + 1) / (F.col("df") + 0.5)), F.lit(1e-6))
+    return best.join(members, "doc").select("qid", "id").distinct().join(df, "id").select("qid", "id", weight.alias("weight"))
+
+
+def passage_fusion(members: DataFrame, together: DataFrame, passages: int, lexical: DataFrame, seeds: int = 10, k: int = 60) -> DataFrame:
+    """(qid, id, score, rank): passages by reciprocal rank of their lexical score and of the PageRank mass of the names in them.
+
+    members: doc, id (name), distinct. together: a, b, names that meet, each pair once. lexical: qid,
+    id (passage), score. The restart is the names of the first ``seeds`` passages. A passage without
+    a score has no place in that ranking. Ties go to the smaller id.
+    """
+    lexical = written(positions(lexical.select("qid", "id", "score"), "qid", [F.col("score").desc(), F.col("id")], "rank"), "passages-lexical")
+    best = lexical.where(F.col("rank") <= seeds).select("qid", F.col("id").alias("doc"))
+    both = together.select("a", "b", F.lit(1.0).alias("w")).unionAll(together.select("b", "a", F.lit(1.0)))
+    mass = pagerank_by_query(both, seed_weights(members, passages, best), 1_000, tolerance=1e-6)
+    scores = mass.join(members, "id").groupBy("qid", F.col("doc").alias("id")).agg(F.round(F.sum("score"), 9).alias("score")).where("score > 0")
+    placed = positions(written(scores, "passages-mass"), "qid", [F.col("score").desc(), F.col("id")], "rank")
+    parts = lexical.select("qid", "id", "rank").unionByName(placed.select("qid", "id", "rank"))
+    fused = parts.groupBy("qid", "id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"))
+    return positions(written(fused, "passages-fused"), "qid", [F.col("score").desc(), F.col("id")], "rank")
+
+
 def pagerank(edges: DataFrame, restart: DataFrame, rounds: int = 20, alpha: float = 0.85, tolerance: float | None = None) -> DataFrame:
     """(id, score): personalised PageRank over directed (a, b, w) from restart (id, weight), with the nodes of score 0."""
     found = pagerank_by_query(edges, restart.withColumn("qid", F.lit(0)), rounds, alpha, tolerance)

@@ -129,6 +129,19 @@ def _(spark, sf):
     return names.groupBy("id").agg(F.round(F.greatest(F.ln(F.lit(total + 1) / (F.count(F.lit(1)) + 0.5)), F.lit(1e-6)), 9).alias("weight"))
 
 
+@query("ppr_passages")
+def _(spark, sf):
+    """Corpus passages for each document title whose id is divisible by 100: BM25 fused with the PageRank mass of their names."""
+    rows = read(spark, sf, "corpus_docs")
+    latest = rows.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("modified_at", F.lit("")), F.coalesce("body", F.lit("")).alias("body")))["body"].alias("body"))
+    docs = latest.select(F.col("doc_id").alias("id"), T.words(F.col("body"), T.HARNESS_WORD, 2).alias("terms"))
+    asked = read(spark, sf, "documents").where("doc_id % 100 = 0 AND title IS NOT NULL")
+    asked = asked.select(F.col("doc_id").alias("qid"), T.words(F.col("title"), T.HARNESS_WORD, 2).alias("terms"))
+    members = rows.select(F.col("doc_id").alias("doc"), F.explode("people_mentions").alias("n")).select("doc", F.lower(F.trim("n")).alias("id")).where("id <> ''").distinct()
+    together = G.entity_graph(rows.select(F.col("doc_id").alias("doc"), F.col("people_mentions").alias("names"))).select("a", "b")
+    return G.passage_fusion(members, together, docs.count(), T.bm25(docs, asked, T.HARNESS))
+
+
 @query("graph_seeding", f"""WITH {EDGES_SQL}, {_ARM_LIVE}, d AS (SELECT write_cursor AS id, regexp_extract_all(lower(body), '[a-z0-9]+') AS terms FROM live),
 one AS (SELECT unnest(['click', '69', '17']) AS term), st AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM d), o AS (SELECT id, len(terms) AS dl, unnest(terms) AS term FROM d),
 t AS (SELECT id, dl, term, count(*) AS tf FROM o WHERE term IN (SELECT term FROM one) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),

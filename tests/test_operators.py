@@ -167,6 +167,27 @@ def test_pagerank_of_several_queries_converges(spark):
         assert all(abs(mine.get(i, 0.0) - v) < 1e-5 for i, v in want.items())
 
 
+def test_passages_by_the_mass_of_their_names(spark):
+    names = {"p1": "ab", "p2": "bc", "p3": "c", "p4": "d", "p5": ""}
+    lexical = {1: {"p1": 3.0, "p5": 2.0, "p4": 1.0}, 2: {"p3": 1.0}}
+    pairs = [("a", "b"), ("b", "c"), ("a", "c")]
+    members = spark.createDataFrame([(d, n) for d, x in names.items() for n in x], "doc string, id string")
+    scored = spark.createDataFrame([(q, d, s) for q, x in lexical.items() for d, s in x.items()], "qid int, id string, score double")
+    got = {}
+    for r in graph.passage_fusion(members, spark.createDataFrame(pairs, "a string, b string"), 5, scored, seeds=2).orderBy("rank").collect():
+        got.setdefault(r.qid, []).append((r.id, r.score))
+    for q, x in lexical.items():
+        first = sorted(x, key=lambda d: (-x[d], d))
+        seeds = {n for d in first[:2] for n in names[d]}
+        weights = {n: max(np.log(6 / (sum(n in y for y in names.values()) + 0.5)), 1e-6) for n in seeds}
+        mass = exact_pagerank([(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs], weights)
+        own = {d: sum(mass.get(n, 0) for n in y) for d, y in names.items()}
+        second = sorted((d for d in own if own[d] > 0), key=lambda d: (-own[d], d))
+        want = {d: sum(1 / (60 + r.index(d) + 1) for r in (first, second) if d in r) for d in {*first, *second}}
+        want = sorted(want.items(), key=lambda w: (-round(w[1], 9), w[0]))
+        assert [d for d, _ in got[q]] == [d for d, _ in want] and all(abs(g[1] - w[1]) < 1e-6 for g, w in zip(got[q], want, strict=True))
+
+
 def test_registered_pagerank_is_converged(spark, sf):
     from lorespark.plans.graph_queries import Q, _ppr
 
