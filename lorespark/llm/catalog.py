@@ -27,22 +27,32 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "doc_id")
 
 
-def p1_top10(spark: SparkSession, sf: str) -> DataFrame:
+def p1_top10(spark: SparkSession, sf: str, **thresholds: int) -> DataFrame:
     return top_n_per_group(
-        _read(spark, sf, "pool"), "query_id", "doc_id", "ce_norm", 10, groups=_read(spark, sf, "gold_records")
+        _read(spark, sf, "pool"), "query_id", "doc_id", "ce_norm", 10, groups=_read(spark, sf, "gold_records"), **thresholds
     )
 
 
-def _fused(spark: SparkSession, sf: str):
-    return fuse_scores(_read(spark, sf, "pool"), "query_id", "doc_id", {"base_score": 1.0, "ce_norm": 1.0})
+def p1_top10_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with so low a threshold that groups of 60 rows take the hot path."""
+    return p1_top10(spark, sf, hot_rows=60, salt_rows=25)
+
+
+def _fused(spark: SparkSession, sf: str, **thresholds: int):
+    return fuse_scores(_read(spark, sf, "pool"), "query_id", "doc_id", {"base_score": 1.0, "ce_norm": 1.0}, **thresholds)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaders_by_place(_fused(spark, sf), "query_id", "doc_id")
 
 
-def p4_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    return _fused(spark, sf).table().select("query_id", "doc_id", F.round("fused", 9).alias("fused"), "position")
+def p4_ranking(spark: SparkSession, sf: str, **thresholds: int) -> DataFrame:
+    return _fused(spark, sf, **thresholds).table().select("query_id", "doc_id", F.round("fused", 9).alias("fused"), "position")
+
+
+def p4_ranking_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with so low a threshold that groups of 60 rows take the hot path."""
+    return p4_ranking(spark, sf, hot_rows=60)
 
 
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,35 +121,53 @@ counted AS (
 SELECT query_id, doc_id FROM counted WHERE pb <= 3 AND pc <= 3 AND rivals = 1 AND items >= 30
 """
 
-_RANKING = """
+def _standard_sql(x: str) -> str:
+    """Columns of one score: its value, lowest, NEAR-th and FAR-th highest in robust deviations."""
+    z = lambda v: f"CASE WHEN d{x} IS NULL THEN 0.0 ELSE ({v} - m{x}) / d{x} END"
+    return f"{x}, {z(x)} AS z{x}, {z('l' + x)} AS zl{x}, {z('n' + x)} AS zn{x}, {z('f' + x)} AS zf{x}"
+
+
+def _edge_sql(x: str) -> str:
+    return f"""CASE WHEN {x} IS NOT NULL THEN z{x} ELSE least(-3.0, coalesce(zl{x}, -3.0)) END AS z{x},
+  coalesce(zf{x}, least(0.0, coalesce(zn{x}, zl{x}, 0.0))) AS e{x}, zn{x}, {x}"""
+
+
+def _above_sql(x: str) -> str:
+    top = f"greatest(coalesce(zn{x}, e{x}), e{x})"
+    return f"z{x}, e{x}, {x} IS NOT NULL AND z{x} >= e{x} AS o{x}, CASE WHEN {top} > e{x} THEN (z{x} - e{x}) / ({top} - e{x}) ELSE 1 + z{x} - e{x} END AS y{x}"
+
+
+def _bounded_sql(x: str) -> str:
+    log = lambda z: f"-(ln(1 + exp(-abs({z}))) + greatest(-({z}), 0))"
+    above = f"CASE WHEN y{x} > 1 THEN 1 + ln(greatest(y{x}, 1.0)) ELSE y{x} END"
+    return f"""CASE WHEN o{x} THEN {log(f"2.9444389791664403 * ({above})")} ELSE {log(f'z{x}')} - ({log(f'e{x}')}) - ln(2.0) END AS log{x},
+  CASE WHEN o{x} THEN {above} ELSE z{x} - e{x} END AS plain{x}"""
+
+
+_RANKING = f"""
 WITH best AS (
   SELECT query_id, doc_id,
          max(CASE WHEN NOT isnan(base_score) THEN base_score END) AS b,
          max(CASE WHEN NOT isnan(ce_norm) THEN ce_norm END) AS c
   FROM pool WHERE query_id IS NOT NULL AND doc_id IS NOT NULL GROUP BY query_id, doc_id),
 centre AS (
-  SELECT query_id, quantile_disc(b, 0.5) AS mb, quantile_disc(c, 0.5) AS mc, min(b) AS lb, min(c) AS lc
+  SELECT query_id, quantile_disc(b, 0.5) AS mb, quantile_disc(c, 0.5) AS mc, min(b) AS lb, min(c) AS lc,
+         list_sort(list(b) FILTER (b IS NOT NULL), 'DESC')[3] AS nb, list_sort(list(c) FILTER (c IS NOT NULL), 'DESC')[3] AS nc,
+         list_sort(list(b) FILTER (b IS NOT NULL), 'DESC')[20] AS fb, list_sort(list(c) FILTER (c IS NOT NULL), 'DESC')[20] AS fc
   FROM best GROUP BY query_id),
 spread AS (
   SELECT query_id, quantile_disc(abs(b - mb), 0.5) AS ab, quantile_disc(abs(c - mc), 0.5) AS ac,
          avg(abs(b - mb)) AS eb, avg(abs(c - mc)) AS ec
   FROM best JOIN centre USING (query_id) GROUP BY query_id),
 scale AS (
-  SELECT query_id, mb, mc, lb, lc,
-         CASE WHEN ab > 0 THEN ab * 1.4826 WHEN eb > 0 THEN eb * 1.2533 END AS db,
+  SELECT centre.*, CASE WHEN ab > 0 THEN ab * 1.4826 WHEN eb > 0 THEN eb * 1.2533 END AS db,
          CASE WHEN ac > 0 THEN ac * 1.4826 WHEN ec > 0 THEN ec * 1.2533 END AS dc
   FROM centre JOIN spread USING (query_id)),
-standard AS (
-  SELECT query_id, doc_id,
-    CASE WHEN b IS NOT NULL THEN CASE WHEN db IS NULL THEN 0.0 ELSE (b - mb) / db END
-         ELSE least(-3.0, coalesce(CASE WHEN db IS NULL THEN 0.0 ELSE (lb - mb) / db END, -3.0)) END AS zb,
-    CASE WHEN c IS NOT NULL THEN CASE WHEN dc IS NULL THEN 0.0 ELSE (c - mc) / dc END
-         ELSE least(-3.0, coalesce(CASE WHEN dc IS NULL THEN 0.0 ELSE (lc - mc) / dc END, -3.0)) END AS zc
-  FROM best JOIN scale USING (query_id)),
-fused AS (
-  SELECT query_id, doc_id, (zb + zc) / 2 AS plain,
-    round(-(ln(1 + exp(-abs(zb))) + greatest(-zb, 0) + ln(1 + exp(-abs(zc))) + greatest(-zc, 0)) / 2, 12) AS log
-  FROM standard)
+standard AS (SELECT query_id, doc_id, {_standard_sql('b')}, {_standard_sql('c')} FROM best JOIN scale USING (query_id)),
+edges AS (SELECT query_id, doc_id, {_edge_sql('b')}, {_edge_sql('c')} FROM standard),
+above AS (SELECT query_id, doc_id, {_above_sql('b')}, {_above_sql('c')} FROM edges),
+bounded AS (SELECT query_id, doc_id, {_bounded_sql('b')}, {_bounded_sql('c')} FROM above),
+fused AS (SELECT query_id, doc_id, round((plainb + plainc) / 2, 9) AS plain, round((logb + logc) / 2, 12) AS log FROM bounded)
 SELECT query_id, doc_id, round(exp(log), 9) AS fused,
        row_number() OVER (PARTITION BY query_id ORDER BY log DESC, plain DESC, doc_id) AS position
 FROM fused
@@ -150,10 +178,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_top10": p1_top10,
+        "p1_top10_hot": p1_top10_hot,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
         "p4_found": p4_found,
         "p4_ranking": p4_ranking,
+        "p4_ranking_hot": p4_ranking_hot,
         "p6_ids": p6_ids,
         "p6_roundtrip": p6_roundtrip,
         "p7_mix": p7_mix,
@@ -164,10 +194,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    top10 = _TOP10 + "SELECT query_id, doc_id, ce_norm, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10"
     return {
         "p1_found": _TOP10 + "SELECT query_id, doc_id FROM ranked WHERE rank <= 10",
-        "p1_top10": _TOP10 + "SELECT query_id, doc_id, ce_norm, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
+        "p1_top10": top10,
+        "p1_top10_hot": top10,
         "p4_found": _PLACES,
         "p4_ranking": _RANKING,
+        "p4_ranking_hot": _RANKING,
         "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorespark.operators.skew import hot_groups, is_hot, keys_frame
+from lorespark.operators.skew import BROADCAST_BYTES, HOT_ROWS, Heavy, heavy_groups, split_heavy
+from lorespark.runtime import written
 
 
 def top_n_per_group(
@@ -16,9 +17,9 @@ def top_n_per_group(
     score: str,
     n: int = 10,
     groups: DataFrame | None = None,
-    hot_rows: int = 50_000,
-    most_hot: int = 1_000,
+    hot_rows: int = HOT_ROWS,
     salt_rows: int = 20_000,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(group, item, score, rank): the n items with the highest score of each group, ranks from 1.
 
@@ -28,44 +29,36 @@ def top_n_per_group(
     ``groups``, if given, is a table whose column of the group's name says which groups are wanted.
     Other columns of df are ignored, whatever their names.
 
-    Exact row counts split the groups. Those of ``hot_rows`` rows and more are salted by item,
-    range-sorted by (group, salt), cut to n within each salt and merged, so no task sees more than
-    about ``salt_rows`` rows of a group; the rest take one shuffle and an ordinary window.
+    Exact row counts split the groups; any number of them may be heavy. The rows of those of ``hot_rows``
+    rows and more are first reduced to one per item where they are read, then salted by item,
+    range-sorted by (group, salt), cut to n within each salt and merged: no task sees more than about
+    ``salt_rows`` items of a group before the merge, and of each earlier task at most n in it. The
+    others take one shuffle and an ordinary window.
     """
     rows = df.select(
         F.col(group).alias("g"), F.col(item).alias("i"), (F.col(score).cast("double") + F.lit(0.0)).alias("s")
     ).where("g IS NOT NULL AND i IS NOT NULL AND s IS NOT NULL AND NOT isnan(s)")
-    hot = hot_groups(rows, "g", hot_rows, most_hot)
+    wanted = None if groups is None else groups.select(F.col(group).alias("g")).where("g IS NOT NULL").distinct()
+    heavy = heavy_groups(rows, "g", hot_rows)
+    light, hot = split_heavy(rows, "g", heavy, broadcast_bytes)
+    if wanted is not None and heavy.keys:  # the heavy groups are asked for by their table, not row by row
+        table = written(heavy.table.join(wanted.withColumnRenamed("g", "k"), "k", "left_semi"), "heavy-wanted")
+        hot = split_heavy(rows, "g", Heavy(table, table.count()), broadcast_bytes)[1]
 
-    light = rows.where(~is_hot("g", hot))
-    wanted = None if groups is None else groups.select(F.col(group).alias("g")).where("g IS NOT NULL")
-    if wanted is not None:
-        light = light.join(wanted, "g", "left_semi")
-    else:
-        light = light.repartition("g")
+    light = light.repartition("g") if wanted is None else light.join(wanted, "g", "left_semi")
     best = F.row_number().over(Window.partitionBy("g").orderBy(F.col("s").desc(), "i"))
-    parts = [light.groupBy("g", "i").agg(F.max("s").alias("s")).withColumn("r", best).where(F.col("r") <= n)]
-
-    if hot and wanted is not None:  # at most most_hot keys
-        kept = {row["g"] for row in wanted.where(is_hot("g", hot)).distinct().collect()}
-        hot = {k: c for k, c in hot.items() if k in kept}
-    if hot:
-        salts = keys_frame(rows, "g", {k: -(-c // salt_rows) for k, c in hot.items()}, "salts")
-        in_salt = Window.partitionBy("g", "salt").orderBy(F.col("s").desc(), "i")
-        parts.append(
-            rows.where(is_hot("g", hot))
-            .join(F.broadcast(salts), "g")
-            .withColumn("salt", F.expr("pmod(xxhash64(i), salts)"))
+    found = light.groupBy("g", "i").agg(F.max("s").alias("s")).withColumn("r", best).where(F.col("r") <= n)
+    if hot is not None:
+        in_salt = F.row_number().over(Window.partitionBy("g", "salt").orderBy(F.col("s").desc(), "i"))
+        once = hot.groupBy("g", "i").agg(F.max("s").alias("s"), F.max("__rows").alias("m"))
+        cut = (
+            once.withColumn("salt", F.expr(f"pmod(xxhash64(i), ceil(m / {salt_rows}))"))
             .repartitionByRange("g", "salt")
-            .groupBy("g", "salt", "i")
-            .agg(F.max("s").alias("s"))
-            .withColumn("r", F.row_number().over(in_salt))
-            .where(F.col("r") <= n)
-            .select("g", "i", "s")
-            .withColumn("r", best)
+            .withColumn("r", in_salt)
             .where(F.col("r") <= n)
         )
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        merged = cut.select("g", "i", "s").withColumn("r", best).where(F.col("r") <= n)
+        found = found.unionByName(merged)
     return found.select(
         F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), F.col("r").cast("int").alias("rank")
     )

@@ -26,6 +26,34 @@ def lower_median(values):
     return sorted(values)[(len(values) - 1) // 2]
 
 
+def log_logistic(z):
+    return -math.log1p(math.exp(-abs(z))) - max(-z, 0)
+
+
+def squash(have):
+    """The two values (log, tie) of a score, given all values that are not missing."""
+    if not have:
+        return lambda x: (log_logistic(-3.0) - log_logistic(0.0) - math.log(2), -3.0)
+    med = lower_median(have)
+    dev = [abs(x - med) for x in have]
+    sd = lower_median(dev) * 1.4826 or statistics.fmean(dev) * 1.2533
+    z = (lambda x: (x - med) / sd) if sd else (lambda x: 0.0)
+    down = sorted(have, reverse=True)
+    near = z(down[2]) if len(down) >= 3 else None
+    edge = z(down[19]) if len(down) >= 20 else min(0.0, near if near is not None else z(min(have)))
+    top = max(edge, near if near is not None else edge)
+
+    def value(x):
+        at = min(-3.0, z(min(have))) if x is None else z(x)
+        if x is None or at < edge:
+            return log_logistic(at) - log_logistic(edge) - math.log(2), at - edge
+        y = (at - edge) / (top - edge) if top > edge else 1 + at - edge
+        y = 1 + math.log(y) if y > 1 else y
+        return log_logistic(math.log(19) * y), y
+
+    return value
+
+
 def brute(rows):
     best = {}
     for q, d, *scores in rows:
@@ -37,22 +65,11 @@ def brute(rows):
                 item[k] = s
     out = {}
     for q, items in best.items():
-        maps = []
-        for k in (0, 1):
-            have = [v[k] for v in items.values() if v[k] is not None]
-            if not have:
-                maps.append(lambda x: -3.0)
-                continue
-            med = lower_median(have)
-            dev = [abs(x - med) for x in have]
-            mad, mean = lower_median(dev), statistics.fmean(dev)
-            sd = mad * 1.4826 or mean * 1.2533
-            z = (lambda x, med=med, sd=sd: (x - med) / sd if sd else 0.0)
-            maps.append(lambda x, z=z, low=min(-3.0, z(min(have))): low if x is None else z(x))
+        maps = [squash([v[k] for v in items.values() if v[k] is not None]) for k in (0, 1)]
         logs = {}
         for d, v in items.items():
-            zs = [m(x) for m, x in zip(maps, v)]
-            logs[d] = (sum(-math.log1p(math.exp(-abs(z))) - max(-z, 0) for z in zs) / 2, sum(zs) / 2)
+            pairs = [m(x) for m, x in zip(maps, v)]
+            logs[d] = tuple(round(sum(p[k] for p in pairs) / 2, digits) for k, digits in ((0, 12), (1, 9)))
         order = sorted(items, key=lambda d: (-logs[d][0], -logs[d][1], d))
         out[q] = (order, logs, items)
     return out
@@ -99,11 +116,24 @@ def test_leaders_match_brute_force_on_both_paths(spark):
         if len(near) == 1 and far == near and len(items) >= 30:
             want.add((q, near[0]))
     assert want
-    for hot_rows in (10**9, 300, 30):
-        fused = fuse_scores(df, "q", "d", {"b": 1.0, "c": 1.0}, hot_rows=hot_rows)
+    for hot_rows, limit in ((10**9, 8 << 20), (300, 8 << 20), (30, 0)):
+        fused = fuse_scores(df, "q", "d", {"b": 1.0, "c": 1.0}, hot_rows=hot_rows, broadcast_bytes=limit)
         assert set(map(tuple, leaders_by_place(fused, "q", "d").collect())) == want
 
 
+def test_who_is_near_the_top_in_both_scores_comes_before_who_is_far_in_one(spark):
+    """However unlike the tails: item 0 is third in a score of huge range and third in one whose best are nearly equal."""
+    rows = [("q", 0, 1e3, 0.997), ("q", 1, 1e12, 0.98), ("q", 2, 1e9, 0.1), ("q", 3, 5.0, 0.999), ("q", 4, 4.0, 0.998)]
+    rows += [("q", 10 + k, 10.0 + k, 0.2 + k / 1000) for k in range(40)] + [("q", 60 + k, 1.0 + k / 100, 0.981 + k / 10000) for k in range(20)]
+    rows += [("few", k, float(k) if k < 3 else None, 0.5 + k / 100) for k in range(31)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for hot_rows in (10**9, 10):
+        fused = fuse_scores(df, "q", "d", {"b": 1.0, "c": 1.0}, hot_rows=hot_rows)
+        first = {r.q: r.d for r in fused.table().where("position = 1").collect()}
+        assert first["q"] == 0
+        assert [tuple(r) for r in leaders_by_place(fused, "q", "d").collect()] == [("q", 0)]
+
+
 def test_empty(spark):
     fused = fuse_scores(spark.createDataFrame([], SCHEMA), "q", "d", {"b": 1.0, "c": 2.0})
     assert fused.table().collect() == []

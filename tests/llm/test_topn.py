@@ -44,6 +44,18 @@ def test_wanted_groups_and_clashing_columns(spark):
         assert got == brute(rows, 5, {"hot", "q7"})
 
 
+def test_more_heavy_groups_than_a_list_would_hold(spark):
+    """1,300 groups of two items each are heavy at this threshold; none is left to the ordinary windows, whichever join is used."""
+    rows = [(f"g{k}", d, (k * 7 + d * 3) % 11 / 11) for k in range(1_300) for d in (1, 2)] + [("alone", 1, 0.5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    wanted = spark.createDataFrame([(f"g{k}",) for k in range(0, 1_300, 2)] + [("alone",)], "q string")
+    for limit in (8 << 20, 0):
+        got = sorted(map(tuple, top_n_per_group(df, "q", "d", "s", 1, hot_rows=2, salt_rows=1, broadcast_bytes=limit).collect()))
+        assert got == brute(rows, 1)
+        got = sorted(map(tuple, top_n_per_group(df, "q", "d", "s", 1, groups=wanted, hot_rows=2, salt_rows=1, broadcast_bytes=limit).collect()))
+        assert got == brute(rows, 1, {f"g{k}" for k in range(0, 1_300, 2)} | {"alone"})
+
+
 def test_all_tied_hot_group(spark):
     rows = [("a", d, 1.0) for d in range(3000)] * 2 + [("b", 1, -0.0), ("b", 0, 0.0)]
     df = spark.createDataFrame(rows, SCHEMA)
