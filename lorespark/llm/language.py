@@ -38,7 +38,7 @@ HASH_BITS = 16
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 2e-6
 #: What changing the language between two sentences costs, in units of the decoding loss.
-SWITCH = 9.0
+SWITCH = 7.0
 #: A stretch whose best language beats the next by less than this probability is called ambiguous.
 CLEAR = 0.9
 
@@ -55,9 +55,10 @@ _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _FENCED = regex.compile(r"^[ \t]*+(```|~~~).*?(?:^[ \t]*+\1[^\S\n]*+$|\Z)", regex.M | regex.S)
 _NAMES = regex.compile(r"(?:[^\p{L}]*+\p{Lu}[\p{Ll}\p{M}]++)++[^\p{L}]*+")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]{4}")
-#: A line of fewer words, or of capitalised names alone, is no whole sentence ...
+_SENTENCE_END = regex.compile(r"""[.!?…。！？]+["'”’»)\]」』）]?\s*+\Z""")
+#: A line without a sentence's end is a whole sentence if it has so many words ...
 LEAST_WORDS = 4
-#: ... unless it is written without spaces and has so many letters.
+#: ... or, written without spaces, so many letters; one with a sentence's end if it has two.
 LEAST_UNSPACED = 6
 #: What a fragment may add to the cost of a language; below SWITCH, so it opens no stretch by itself.
 FRAGMENT = 2.0
@@ -116,9 +117,16 @@ def letters(sentence: str) -> str:
 
 
 def whole(sentence: str, words: str) -> bool:
-    """Whether a sentence, of which letters() left words, can be more than a name, a greeting or a fragment."""
-    if words.count(" ") - 1 >= LEAST_WORDS:
+    """Whether a sentence, of which letters() left words, is more than names, a heading or a fragment.
+
+    What ends like a sentence and has two words is one, however short; whether it opens a stretch is for its loss
+    to say. Other lines need LEAST_WORDS. Capitalised names alone are none.
+    """
+    count, ends = words.count(" ") - 1, bool(_SENTENCE_END.search(sentence))
+    if count >= (2 if ends else LEAST_WORDS):
         return not _NAMES.fullmatch(sentence)
+    if ends:
+        return len(words) > 3 and bool(_NO_SPACES.search(words))
     return len(words) - 2 >= LEAST_UNSPACED and bool(_UNSPACED.search(words))
 
 
@@ -148,6 +156,23 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield ((word * mul) >> shift).astype(np.int64), of[a]
 
 
+def _counts(texts: list[str], labels: np.ndarray, use: np.ndarray, size: int) -> np.ndarray:
+    """(languages, size): how often each hashed n-gram occurs in the texts in use of each language, block by block."""
+    out = np.zeros(len(CODES) * size)
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (end == at or chars + len(texts[end]) <= _BLOCK):
+            chars += len(texts[end])
+            end += 1
+        own, mine = labels[at:end] * size, use[at:end]
+        for hashed, owner in features(texts[at:end]):
+            good = mine[owner]
+            out += np.bincount(hashed[good] + own[owner[good]], minlength=len(out))
+        at = end
+    return out.reshape(len(CODES), size)
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Weights of one binary n-gram classifier per bit of the codewords, and how far each is to be trusted."""
@@ -193,17 +218,14 @@ class LanguageModel:
         Every round after the first drops the sentences that the model before it gives to another
         language, so wrong labels and foreign sentences do not stay in.
         """
-        hashed, owner = (np.concatenate(x) for x in zip(*features(texts)))
         size, code = 1 << HASH_BITS, codewords()
         labels, keep = np.asarray(labels), np.ones(len(texts), dtype=bool)
         held = np.arange(len(texts)) % 5 == 4
         model = None
         for step in range(rounds):
-            share = np.zeros((len(CODES), size))
-            for k in range(len(CODES)):
-                mine = (labels[owner] == k) & keep[owner] & (~held[owner] if step == rounds - 2 else True)
-                share[k] = np.bincount(hashed[mine], minlength=size)
-                share[k] /= max(1.0, share[k].sum())
+            use = keep & ~held if step == rounds - 2 else keep
+            share = _counts(texts, labels, use, size)
+            share /= np.maximum(1.0, share.sum(axis=1, keepdims=True))
             weights = np.empty((size, code.shape[1]), dtype=np.float32)
             for b in range(code.shape[1]):
                 pos, neg = share[code[:, b] > 0].mean(axis=0), share[code[:, b] < 0].mean(axis=0)
@@ -297,11 +319,11 @@ def find_languages(
     trust-weighted loss is its language, and a cheapest path over the sentences of a text keeps one
     that is unsure (a name, a fragment) with its neighbours.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    shipped = df.sparkSession.sparkContext.broadcast((model.weights, model.trust, model.scale))  # of fixed size; workers may lack the package
     kind = df.schema[key].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
+        model = LanguageModel(*shipped.value)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             spans = [sentences(t) if t else [] for t in texts]

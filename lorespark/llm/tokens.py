@@ -96,12 +96,12 @@ def encode_corpus(
     """
     spark: SparkSession = df.sparkSession
     tokenizer = tokenizer or Tokenizer.load()
-    shipped = spark.sparkContext.broadcast(tokenizer)  # a fixed vocabulary
+    shipped = spark.sparkContext.broadcast((tokenizer.name, tokenizer.ranks))  # a fixed vocabulary, as plain values: workers may lack the package
     kind = df.schema[key].dataType.simpleString()
     out = "ids int" if count_only else "ids array<int>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shipped.value)
+        encoder = _encoder(Tokenizer(*shipped.value))
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             ids = [encoder.encode_ordinary(t) if t else [] for t in texts]
@@ -172,13 +172,15 @@ def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", tokenize
     NULL and empty lists give the empty text; bytes that are no UTF-8 give U+FFFD; an unknown id or
     a NULL in a list is an error.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(tokenizer or Tokenizer.load())
+    tokenizer = tokenizer or Tokenizer.load()
+    shipped = df.sparkSession.sparkContext.broadcast((tokenizer.name, tokenizer.ranks))
     kind = df.schema[key].dataType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, name = worker_cache(), ("bytes", shipped.value.name)
+        known = Tokenizer(*shipped.value)
+        cache, name = worker_cache(), ("bytes", known.name, len(known.ranks))
         if name not in cache:
-            cache[name] = {i: b for b, i in shipped.value.table().items()}
+            cache[name] = {i: b for b, i in known.table().items()}
         words = cache[name]
         for batch in batches:
             texts = [b"".join(words[i] for i in x or ()).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]

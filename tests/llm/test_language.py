@@ -41,7 +41,21 @@ def test_sentences_and_letters():
     assert letters("see https://a.b/c x_1 v2.0 me@x.y a=b OK ✅️ 12") == " see ok "
     assert letters("✅ 👍️ … 12") == ""
     assert not whole("Hello Cato Linmeer,", " hello cato linmeer ") and not whole("Zeph Amarill, Lio Quennard", " zeph amarill lio quennard ")
-    assert whole("the list is ready", " the list is ready ")
+    assert whole("the list is ready", " the list is ready ") and not whole("list is ready", " list is ready ")
+    assert whole("Wir kommen morgen.", " wir kommen morgen ") and whole("Осталось 78 вопросов.", " осталось вопросов ") and whole("はい。", " はい ")
+    assert not whole("Zeph Amarill.", " zeph amarill ") and not whole("Dr.", " dr ") and not whole("OK!", " ok ")
+
+
+@pytest.mark.parametrize("text,want", [
+    ("The meeting was moved to the large room and everyone was told. Niemand weiß warum. Everybody should read the notes before the next call.", ["en", "de", "en"]),
+    ("Осталось 78 открытых вопросов. The meeting was moved to the large room and everyone was told.", ["ru", "en"]),
+    ("We write to you. はい。 Everybody should read the notes.", ["en", "ja", "en"]),
+    ("The meeting was moved to the large room. Juan Carlos Pérez. Everybody should read the notes before the next call.", ["en"]),
+    ("Juan Carlos Pérez: the meeting was moved to the large room. We met Dr. van den Berg. Everybody should read the notes.", ["en"]),
+])
+def test_short_sentences_count_by_their_loss(spark, model, text, want):
+    rows = spark.createDataFrame([(1, text, None)], "doc_id int, text string, lang string")
+    assert [r.lang for r in find_languages(rows, model).orderBy("seg").collect()] == want
 
 
 def test_features_do_not_depend_on_the_batch():
