@@ -49,7 +49,7 @@ def test_sentences_and_letters():
 @pytest.mark.parametrize("text,want", [
     ("The meeting was moved to the large room and everyone was told. Niemand weiß warum. Everybody should read the notes before the next call.", ["en", "de", "en"]),
     ("Осталось 78 открытых вопросов. The meeting was moved to the large room and everyone was told.", ["ru", "en"]),
-    ("We write to you. はい。 Everybody should read the notes.", ["en", "ja", "en"]),
+    ("We write to you. 会議です。 Everybody should read the notes.", ["en", "ja", "en"]),
     ("The meeting was moved to the large room. Juan Carlos Pérez. Everybody should read the notes before the next call.", ["en"]),
     ("Juan Carlos Pérez: the meeting was moved to the large room. We met Dr. van den Berg. Everybody should read the notes.", ["en"]),
 ])
