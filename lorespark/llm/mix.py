@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorespark.llm.tokens import Tokenizer, encode_corpus
+from lorespark.operators.skew import joined
 from lorespark.runtime import written
 
-#: Membership patterns grow as two to the number of sources; more targets than this are refused.
-MOST_SOURCES = 16
-#: Parts of a pattern's documents, by hash, within which sizes are summed one after the other.
-BUCKETS = 4_096
+#: The flow is worked out in the driver, so more membership patterns than this, counted in the data, are an error.
+MOST_PATTERNS = 200_000
+#: A pattern's documents are put in order in parts, by hash, of about so many.
+PART_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -26,71 +27,89 @@ class Target:
 
 
 class _Flow:
-    """Minimum-cost maximum flow by shortest augmenting paths; all costs start at zero or above."""
+    """Maximum flow by layers and blocking flows; capacities may be raised between runs, and the flow goes on from where it was."""
 
     def __init__(self, nodes: int):
         self.edges: list[list[int]] = [[] for _ in range(nodes)]
         self.to: list[int] = []
         self.left: list[int] = []
-        self.cost: list[int] = []
 
-    def add(self, a: int, b: int, capacity: int, cost: int = 0) -> int:
-        for x, y, c, w in ((a, b, capacity, cost), (b, a, 0, -cost)):
+    def add(self, a: int, b: int, capacity: int) -> int:
+        for x, y, c in ((a, b, capacity), (b, a, 0)):
             self.edges[x].append(len(self.to))
             self.to.append(y)
             self.left.append(c)
-            self.cost.append(w)
         return len(self.to) - 2
 
     def used(self, edge: int) -> int:
         return self.left[edge ^ 1]
 
+    def _layers(self, source: int, sink: int) -> list[int] | None:
+        depth = [-1] * len(self.edges)
+        depth[source] = 0
+        queue = deque([source])
+        while queue:
+            x = queue.popleft()
+            for e in self.edges[x]:
+                y = self.to[e]
+                if self.left[e] and depth[y] < 0:
+                    depth[y] = depth[x] + 1
+                    queue.append(y)
+        return depth if depth[sink] >= 0 else None
+
     def run(self, source: int, sink: int) -> None:
-        price = [0] * len(self.edges)
-        while True:
-            far, came, queue = {source: 0}, {}, [(0, source)]
-            while queue:
-                d, x = heapq.heappop(queue)
-                if d > far[x]:
+        while (depth := self._layers(source, sink)) is not None:
+            tried, path, x = [0] * len(self.edges), [], source
+            while True:
+                if x == sink:
+                    amount = min(self.left[e] for e in path)
+                    cut = len(path)
+                    for k in range(len(path) - 1, -1, -1):
+                        self.left[path[k]] -= amount
+                        self.left[path[k] ^ 1] += amount
+                        if not self.left[path[k]]:
+                            cut = k
+                    x = self.to[path[cut] ^ 1]
+                    del path[cut:]
                     continue
-                for e in self.edges[x]:
-                    y = self.to[e]
-                    nd = d + self.cost[e] + price[x] - price[y]
-                    if self.left[e] > 0 and nd < far.get(y, nd + 1):
-                        far[y], came[y] = nd, e
-                        heapq.heappush(queue, (nd, y))
-            if sink not in far:
-                return
-            top = max(far.values())
-            price = [p + far.get(x, top) for x, p in enumerate(price)]
-            amount, y = None, sink
-            while y != source:
-                amount = self.left[came[y]] if amount is None else min(amount, self.left[came[y]])
-                y = self.to[came[y] ^ 1]
-            y = sink
-            while y != source:
-                self.left[came[y]] -= amount
-                self.left[came[y] ^ 1] += amount
-                y = self.to[came[y] ^ 1]
+                edges = self.edges[x]
+                while tried[x] < len(edges) and not (self.left[edges[tried[x]]] and depth[self.to[edges[tried[x]]]] == depth[x] + 1):
+                    tried[x] += 1
+                if tried[x] < len(edges):
+                    path.append(edges[tried[x]])
+                    x = self.to[path[-1]]
+                elif path:
+                    x = self.to[path.pop() ^ 1]
+                    tried[x] += 1
+                else:
+                    break
 
 
 def route(patterns: dict[tuple[str, ...], int], targets: list[Target], total: int) -> dict[tuple[tuple[str, ...], str], int]:
     """Tokens that each membership pattern gives to each source: as much of every quota as can be
-    had, at the least repetition. A pattern's n-th copy costs n - 1 a token, so use is even."""
+    had, at the least repetition. A pattern's n-th copy costs n - 1 a token, so use is even.
+
+    Only the ways into the patterns have a cost, and it rises with the copy. A shortest augmenting path therefore
+    costs as much as the copy it begins with, so the minimum is found by letting in one copy of
+    everything after the other, each time up to the maximum flow.
+    """
     by = {t.source: t for t in targets}
     names, listed = sorted(by), sorted(patterns)
     flow = _Flow(2 + len(listed) + len(names))
     at = {n: 2 + len(listed) + k for k, n in enumerate(names)}
-    inner = {}
+    ways, inner = [], {}
     for k, pattern in enumerate(listed):
         mine = [by[s] for s in pattern]
-        for copy in range(max(t.max_repeats for t in mine)):
-            flow.add(0, 2 + k, patterns[pattern], copy)
+        ways.append((flow.add(0, 2 + k, 0), max(t.max_repeats for t in mine), patterns[pattern]))
         for t in mine:
             inner[pattern, t.source] = flow.add(2 + k, at[t.source], patterns[pattern] * t.max_repeats)
     for n in names:
         flow.add(at[n], 1, round(by[n].share * total))
-    flow.run(0, 1)
+    for copy in range(max((most for _, most, _ in ways), default=0)):
+        for edge, most, size in ways:
+            if copy < most:
+                flow.left[edge] += size
+        flow.run(0, 1)
     return {x: flow.used(e) for x, e in inner.items()}
 
 
@@ -128,8 +147,8 @@ def mix_sources(
     ``reached``, or ``short`` where the source cannot fill its quota. An empty table gives an empty
     mix and a report in which every target is short.
     """
-    if len(targets) > MOST_SOURCES or len({t.source for t in targets}) < len(targets):
-        raise ValueError(f"at most {MOST_SOURCES} targets, each source once")
+    if len({t.source for t in targets}) < len(targets):
+        raise ValueError("each source has one target")
     names = sorted(t.source for t in targets)
     wanted = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
     mine = F.array_sort(F.array_intersect(F.coalesce(sources, F.array().cast("array<string>")), wanted))
@@ -140,7 +159,10 @@ def mix_sources(
         .where("n > 0"),
         "mix-sizes",
     )
-    patterns = {tuple(r.p): r.n for r in sizes.groupBy("p").agg(F.sum("n").alias("n")).collect()}  # at most 2 ** MOST_SOURCES
+    counted = written(sizes.groupBy("p").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")), "mix-patterns")
+    if counted.count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} membership patterns occur")
+    patterns = {tuple(r.p): r.n for r in counted.collect()}  # at most MOST_PATTERNS
     total = sum(patterns.values()) if total is None else total
     flows = route(patterns, targets, total)
 
@@ -151,23 +173,24 @@ def mix_sources(
         if tokens:
             tape.append((list(pattern), patterns[pattern], source, x, x + tokens))
     spark = df.sparkSession
-    stretches = spark.createDataFrame(tape, "p array<string>, size bigint, source string, x bigint, y bigint")
+    stretches = written(spark.createDataFrame(tape, "p array<string>, size bigint, source string, x bigint, y bigint"), "mix-tape")
 
-    bucket = F.expr(f"pmod(h, {BUCKETS})")
-    sums = sizes.groupBy("p", bucket.alias("b")).agg(F.sum("n").alias("n"))
+    # A pattern's documents are summed one after the other in parts by hash, as many as its exact count asks for.
+    parts = counted.select("p", F.ceil(F.col("docs") / PART_ROWS).alias("parts"))
+    sizes = joined(sizes, parts, ["p"]).withColumn("b", F.expr("pmod(h, parts)")).drop("parts")
+    sums = sizes.groupBy("p", "b").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("p", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("p", "b").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        sizes.withColumn("b", bucket)
-        .withColumn("rank", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        sizes.withColumn("rank", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(offsets, ["p", "b"])
         .withColumn("a", F.col("start") + F.col("rank"))
     )
     # A document begins at a, a + size, a + 2 size, ... on its pattern's tape; count those in [x, y).
     uses = F.expr("((y - a + size - 1) div size) - ((x - a + size - 1) div size)")
     used = (
-        placed.join(F.broadcast(stretches), "p")  # at most patterns times sources rows
+        joined(placed, stretches, ["p"])
         .withColumn("uses", uses.cast("int"))
         .where("uses > 0")
         .select(F.col("id").alias(key), "source", F.col("n").alias("tokens"), "uses")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -22,6 +23,73 @@ def test_short_source_gets_all_it_may():
     assert got == {(("a",), "a"): 30, (("b",), "b"): 100}
 
 
+def test_many_overlapping_sources_are_quick_and_optimal():
+    """Every pattern of 11 sources occurs; quotas are filled and nothing is repeated while something is unused."""
+    names = [f"s{k:02}" for k in range(11)]
+    rng = random.Random(1)
+    patterns = {tuple(n for k, n in enumerate(names) if m >> k & 1): rng.randrange(1, 1_000) for m in range(1, 1 << 11)}
+    targets = [Target(n, 1 / 11, 3) for n in names]
+    total = sum(patterns.values())
+    start = time.perf_counter()
+    got = route(patterns, targets, total)
+    assert time.perf_counter() - start < 30
+    for n in names:
+        assert sum(v for (_, s), v in got.items() if s == n) == round(total / 11)
+    used = {}
+    for (p, _), v in got.items():
+        used[p] = used.get(p, 0) + v
+    assert all(used[p] <= patterns[p] + 11 for p in patterns)
+
+
+def brute_cost(patterns, targets, total):
+    """(flow, cost) by enlarging the best flow one token at a time over all ways, by Bellman-Ford."""
+    by = {t.source: t for t in targets}
+    arcs = []
+    for p, size in patterns.items():
+        for copy in range(max(by[s].max_repeats for s in p)):
+            arcs.append(["S", p, size, copy])
+        for s in p:
+            arcs.append([p, s, size * by[s].max_repeats, 0])
+    for t in targets:
+        arcs.append([t.source, "T", round(t.share * total), 0])
+    arcs = [a for x, y, c, w in arcs for a in ([x, y, c, w], [y, x, 0, -w])]
+    flow = cost = 0
+    while True:
+        far, came = {"S": 0}, {}
+        for _ in range(len(arcs)):
+            moved = False
+            for k, (x, y, c, w) in enumerate(arcs):
+                if c and x in far and far[x] + w < far.get(y, 10**9):
+                    far[y], came[y], moved = far[x] + w, k, True
+            if not moved:
+                break
+        if "T" not in far:
+            return flow, cost
+        y = "T"
+        while y != "S":
+            k = came[y]
+            arcs[k][2] -= 1
+            arcs[k ^ 1][2] += 1
+            y = arcs[k][0]
+        flow, cost = flow + 1, cost + far["T"]
+
+
+def test_flow_is_of_least_cost():
+    rng = random.Random(7)
+    for _ in range(12):
+        targets = [Target(n, rng.choice([0.2, 0.4, 0.7]), rng.randrange(1, 4)) for n in "abc"]
+        patterns = {p: rng.randrange(1, 7) for p in [("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "b", "c")] if rng.random() < 0.8}
+        if not patterns:
+            continue
+        got = route(patterns, targets, 15)
+        cost = 0
+        for p, size in patterns.items():
+            left, copy = sum(v for (q, _), v in got.items() if q == p), 0
+            while left > 0:
+                cost, left, copy = cost + min(left, size) * copy, left - size, copy + 1
+        assert (sum(got.values()), cost) == brute_cost(patterns, targets, 15)
+
+
 def documents(n=400):
     rng = random.Random(6)
     rows = []
