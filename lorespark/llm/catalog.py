@@ -11,7 +11,7 @@ from lorespark.llm.fuse import fuse_scores, leaders_by_place
 from lorespark.llm.language import find_languages, fit_languages, wrongly_labelled
 from lorespark.llm.mix import Mix, Target, mix_sources
 from lorespark.llm.split import holding_versions, split_oversized
-from lorespark.llm.tokens import decode_corpus, encode_corpus
+from lorespark.llm.tokens import Tokenizer, decode_corpus, encode_corpus
 from lorespark.llm.topn import top_n_per_group
 from lorespark.runtime import prepare, written
 
@@ -56,13 +56,39 @@ def p4_ranking_hot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return split_oversized(holding_versions(_read(spark, sf, "corpus_docs"), "doc_id", "body", "modified_at"))
+    return split_oversized(holding_versions(_read(spark, sf, "corpus_docs"), "doc_id", "body", "modified_at", over=6_000))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_pieces(spark, sf).where("piece = 0").select("doc_id", "boundary")
 
 
+def _split_check(spark: SparkSession, sf: str, limit: int, overlap: int, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """(doc_id, chars, md5, too_large, wrong_repeats) of each body put together again from its pieces, or as it is if it has none."""
+    bodies = written(holding_versions(_read(spark, sf, "corpus_docs"), "doc_id", "body", "modified_at"), "bodies")
+    pieces = split_oversized(bodies, limit=limit, overlap=overlap, tokenizer=tokenizer)
+    fresh = F.expr("substr(text, repeated + 1)")
+    joined = pieces.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", fresh.alias("t")))), lambda x: x["t"]), "").alias("again"),
+        F.count_if(F.col("size") > limit).alias("too_large"),
+        F.count_if((F.col("repeated") > overlap * (40 if tokenizer else 1)) | ((F.col("piece") == 0) & (F.col("repeated") > 0))).alias("wrong_repeats"),
+    )
+    text = F.coalesce("again", "body", F.lit(""))
+    return bodies.join(joined, "doc_id", "left").select(
+        "doc_id", F.length(text).cast("bigint").alias("chars"), F.md5(text).alias("md5"),
+        *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("too_large", "wrong_repeats")),
+    )
+
+
+def p3_rejoined(spark: SparkSession, sf: str) -> DataFrame:
+    return _split_check(spark, sf, 6_000, 200)
+
+
+def p3_rejoined_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with sizes in tokens: pieces of at most 512, repeating up to 64."""
+    return _split_check(spark, sf, 512, 64, Tokenizer.load())
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(_read(spark, sf, "documents"))
 
@@ -87,6 +113,25 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).report
 
 
+def p7_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Per target: rows of a document that is not of the source, uses beyond the limit, repeated rows, and whether the tokens
+    miss the target by a document or more (a short source: whether less than all it may give was used)."""
+    mix = _mix(spark, sf)
+    own = _read(spark, sf, "documents").select("doc_id", F.lower(F.trim("source")).alias("own"))
+    limits = _read(spark, sf, "mix_targets").select("source", "max_repeats")
+    used = mix.documents.join(own, "doc_id").join(limits, "source").groupBy("source").agg(
+        F.count_if(F.col("own") != F.col("source")).alias("foreign"),
+        F.count_if((F.col("uses") > F.col("max_repeats")) | (F.col("uses") < 1)).alias("over_used"),
+        (F.count(F.lit(1)) - F.countDistinct("doc_id")).alias("repeated"),
+        F.max("tokens").alias("largest"),
+    )
+    meant = F.when(F.col("status") == "short", F.col("available_tokens") * F.col("max_repeats")).otherwise(F.col("target_tokens"))
+    return mix.report.join(used, "source", "left").select(
+        "source", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("foreign", "over_used", "repeated")),
+        (F.abs(F.col("actual_tokens") - meant) > F.coalesce("largest", F.lit(0))).alias("off_target"),
+    )
+
+
 def p8_languages(spark: SparkSession, sf: str) -> DataFrame:
     documents = _read(spark, sf, "documents")
     return find_languages(documents, fit_languages(documents, "doc_id", "text", "lang"))
@@ -121,6 +166,31 @@ counted AS (
 SELECT query_id, doc_id FROM counted WHERE pb <= 3 AND pc <= 3 AND rivals = 1 AND items >= 30
 """
 
+_HOLDING = """
+WITH held AS (
+  SELECT doc_id, body FROM corpus_docs WHERE doc_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY try_cast(modified_at AS TIMESTAMPTZ) DESC NULLS LAST, body IS NULL, body DESC) = 1)
+"""
+_REJOINED = _HOLDING + "SELECT doc_id, length(coalesce(body, '')) AS chars, md5(coalesce(body, '')) AS md5, CAST(0 AS BIGINT) AS too_large, CAST(0 AS BIGINT) AS wrong_repeats FROM held"
+_WHITE = "[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\v]"
+_MARK = "chr(1)"
+
+
+def _boundary_sql() -> str:
+    """The first kind of boundary that leaves no unit over 5,800 characters: marks go where units part, and the units between are measured."""
+    longest = lambda t: f"list_max(list_transform(string_split({t}, {_MARK}), lambda u: length(u)))"
+    blank = _WHITE.replace("\\s", " \\t\\f\\r").replace("\\v", "\\x0b")
+    return _HOLDING + f"""
+, large AS (SELECT doc_id, body AS b FROM held WHERE length(body) > 6000),
+p AS (SELECT doc_id, regexp_replace(b, '(^|\\r?\\n)({blank}*\\n)+({blank}+$)?|(^|\\r?\\n){blank}+$', {_MARK}, 'g') AS t FROM large),
+l AS (SELECT doc_id, t, regexp_replace(t, '\\r?\\n', {_MARK}, 'g') AS t2 FROM p),
+s AS (SELECT doc_id, t, t2, regexp_replace(regexp_replace(t2, '([.!?…]){_WHITE}+', '\\1' || {_MARK}, 'g'), '([。！？])', '\\1' || {_MARK}, 'g') AS t3 FROM l),
+w AS (SELECT *, regexp_replace(t3, '{_WHITE}+', {_MARK}, 'g') AS t4 FROM s)
+SELECT doc_id, CASE WHEN {longest('t')} <= 5800 THEN 'paragraph' WHEN {longest('t2')} <= 5800 THEN 'line'
+  WHEN {longest('t3')} <= 5800 THEN 'sentence' WHEN {longest('t4')} <= 5800 THEN 'word' ELSE 'character' END AS boundary FROM w
+"""
+
+
 def _standard_sql(x: str) -> str:
     """Columns of one score: its value, lowest, NEAR-th and FAR-th highest in robust deviations."""
     z = lambda v: f"CASE WHEN d{x} IS NULL THEN 0.0 ELSE ({v} - m{x}) / d{x} END"
@@ -181,6 +251,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_top10_hot": p1_top10_hot,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
+        "p3_rejoined": p3_rejoined,
+        "p3_rejoined_tokens": p3_rejoined_tokens,
         "p4_found": p4_found,
         "p4_ranking": p4_ranking,
         "p4_ranking_hot": p4_ranking_hot,
@@ -188,6 +260,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_roundtrip": p6_roundtrip,
         "p7_mix": p7_mix,
         "p7_report": p7_report,
+        "p7_invariants": p7_invariants,
         "p8_found": p8_found,
         "p8_languages": p8_languages,
     }
@@ -199,8 +272,12 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _TOP10 + "SELECT query_id, doc_id FROM ranked WHERE rank <= 10",
         "p1_top10": top10,
         "p1_top10_hot": top10,
+        "p3_found": _boundary_sql(),
+        "p3_rejoined": _REJOINED,
+        "p3_rejoined_tokens": _REJOINED,
         "p4_found": _PLACES,
         "p4_ranking": _RANKING,
         "p4_ranking_hot": _RANKING,
+        "p7_invariants": 'SELECT source, CAST(0 AS BIGINT) AS "foreign", CAST(0 AS BIGINT) AS over_used, CAST(0 AS BIGINT) AS repeated, false AS off_target FROM mix_targets',
         "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

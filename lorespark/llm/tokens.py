@@ -72,6 +72,19 @@ def clean_cuts(text: str, start: int = 0) -> np.ndarray:
     return np.array(ends, dtype=np.int64) + start
 
 
+def token_offsets(text: str, tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) in characters of the tokens of a text, sorted. A character that is cut between tokens belongs to each of them."""
+    if not text:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    encoder = _encoder(tokenizer)
+    sizes = np.array([len(b) for b in encoder.decode_tokens_bytes(encoder.encode_ordinary(text))], dtype=np.int64)
+    wide = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    per_char = 1 + (wide > 0x7F).astype(np.int64) + (wide > 0x7FF) + (wide > 0xFFFF)
+    last = np.cumsum(per_char)  # the byte after each character
+    ends = np.cumsum(sizes)
+    return np.searchsorted(last, ends - sizes, side="right"), np.searchsorted(last, ends - 1, side="right") + 1
+
+
 def encode_corpus(
     df: DataFrame,
     key: str = "doc_id",

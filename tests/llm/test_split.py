@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from lorespark.llm.split import HARD, KINDS, boundaries, cut, holding_versions, natural_kind, split_oversized
+from lorespark.llm.split import HARD, KINDS, Tokens, boundaries, cut, holding_versions, natural_kind, split_oversized
+from lorespark.llm.tokens import Tokenizer, token_offsets
 
 SCHEMA = "doc_id string, body string"
 
@@ -68,6 +69,27 @@ def test_pieces_cover_the_text(limit, overlap):
             assert k == 0 or (pieces[k - 1][0] < start <= pieces[k - 1][2] == new < end)
 
 
+@pytest.mark.parametrize("limit, overlap", [(30, 8), (12, 0), (5, 4), (1, 0)])
+def test_token_pieces_cover_the_text(limit, overlap):
+    tokenizer = Tokenizer.load()
+    for text in sample():
+        starts, ends = token_offsets(text, tokenizer)
+        measure = Tokens(text, starts, ends)
+        assert measure.between(0, len(text)) == len(starts)
+        _, pieces = cut(text, limit, overlap, measure)
+        assert "".join(text[new:end] for _, new, end, _ in pieces) == text
+        for k, (start, new, end, _) in enumerate(pieces):
+            held = int(((starts < end) & (ends > start)).sum())  # the tokens with a character inside
+            assert held == measure.between(start, end) and (held <= limit or end - new == 1)
+            assert ((starts < new) & (ends > start)).sum() <= overlap if start < new else True
+            assert k == 0 or (pieces[k - 1][0] < start <= pieces[k - 1][2] == new < end)
+
+
+def test_token_offsets():
+    starts, ends = token_offsets("a 日本 👩", Tokenizer.load())
+    assert starts[0] == 0 and ends[-1] == 6 and (starts < ends).all() and (starts[1:] >= starts[:-1]).all()
+
+
 def test_cuts_are_at_the_boundaries_they_name():
     for text in sample():
         bounds = dict(zip(KINDS, boundaries(text)))
@@ -102,6 +124,8 @@ def test_operator(spark):
     assert split_oversized(df.where("false")).collect() == []
     with pytest.raises(ValueError):
         split_oversized(df, limit=5, overlap=5)
+    tokens = split_oversized(df, limit=100, overlap=10, tokenizer=Tokenizer.load()).collect()
+    assert {r.doc_id for r in tokens} == {"a", "b", "e", None} and all(0 < r.size <= 100 for r in tokens)
 
 
 def test_holding_versions(spark):
