@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorespark.operators.predicates import ReadView, valid_at
-from lorespark.operators.skew import hot_groups, is_hot, positions
+from lorespark.operators.skew import HOT_ROWS, heavy_groups, positions, split_heavy
 
 #: The legal lifecycle steps.
 TRANSITIONS = [("pending", "active"), ("pending", "deleted"), ("active", "deleted"), ("deleted", "active")]
@@ -62,23 +62,28 @@ def boundary_crossings(nodes: DataFrame, since: int, as_of: int) -> DataFrame:
 
 
 def supersede(
-    df: DataFrame, keys: list[str], order: str = "write_cursor", out: str = "superseded_at", hot_rows: int = 50_000
+    df: DataFrame, keys: list[str], order: str = "write_cursor", out: str = "superseded_at", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Each row's successor under the same keys: an older version ends at the cursor of the next. Rows with a
     NULL key never end another, nor do they end.
 
     Keys of ``hot_rows`` rows and more are range-sorted over many tasks; a row meets its successor by position.
+    ``hot_rows`` None: the caller knows that there are none, and no rows are counted.
     """
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
-    rows = df.withColumn("__h", F.when(whole, F.xxhash64(*keys)))
-    hot = hot_groups(rows, "__h", hot_rows)
     nxt = F.lead(order).over(Window.partitionBy(*keys).orderBy(order))
-    light = rows.where(F.col("__h").isNull() | ~is_hot("__h", hot)).withColumn(out, F.when(whole, nxt)).drop("__h")
-    if not hot:
+    if hot_rows is None:
+        return df.withColumn(out, F.when(whole, nxt))
+    rows = df.withColumn("__h", F.when(whole, F.xxhash64(*keys)))
+    light, hot = split_heavy(rows, "__h", heavy_groups(rows, "__h", hot_rows))
+    # NULL keys have no successor: they keep out of the window, where they would be one group.
+    free, light = light.where(~whole).withColumn(out, F.lit(None).cast(df.schema[order].dataType)), light.where(whole)
+    light = light.withColumn(out, nxt).unionByName(free).drop("__h")
+    if hot is None:
         return light
-    placed = positions(rows.where(is_hot("__h", hot)), "__h", [F.col(c) for c in (*keys, order)], "__pos")
+    placed = positions(hot.drop("__rows"), "__h", [F.col(c) for c in (*keys, order)], "__pos")
     later = placed.select("__h", (F.col("__pos") - 1).alias("__pos"), F.struct(*keys).alias("__k"), F.col(order).alias("__next"))
     heavy = placed.join(later, ["__h", "__pos"], "left").withColumn(out, F.when(F.struct(*keys) == F.col("__k"), F.col("__next")))
     return light.unionByName(heavy.select(light.columns))
@@ -161,14 +166,15 @@ def trace_source(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return parts[0].unionAll(parts[1]).distinct()
 
 
-def retention_sweep(log: DataFrame, collection: str, order: str, cap: int, hot_rows: int = 50_000) -> DataFrame:
+def retention_sweep(log: DataFrame, collection: str, order: str, cap: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The newest ``cap`` rows of each collection; audit collections are exempt, and so are rows of none."""
     exempt = F.col(collection).isNull() | F.col(collection).startswith("audit")
-    hot = hot_groups(log.where(~exempt), collection, hot_rows)
+    swept = log.where(~exempt)
+    light, hot = split_heavy(swept, collection, heavy_groups(swept, collection, hot_rows))
     newest = F.row_number().over(Window.partitionBy(collection).orderBy(F.col(order).desc()))
-    parts = [log.where(exempt), log.where(~exempt & ~is_hot(collection, hot)).withColumn("__r", newest).where(F.col("__r") <= cap).drop("__r")]
-    if hot:
-        placed = positions(log.where(is_hot(collection, hot)), collection, [F.col(order).desc()], "__r")
+    parts = [log.where(exempt), light.withColumn("__r", newest).where(F.col("__r") <= cap).select(log.columns)]
+    if hot is not None:
+        placed = positions(hot.drop("__rows"), collection, [F.col(order).desc()], "__r")
         parts.append(placed.where(F.col("__r") <= cap).select(log.columns))
     out = parts[0]
     for p in parts[1:]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,8 +33,9 @@ def heavy_groups(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> Heavy:
     collected. It has at most one row for every min_rows rows of df.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    table = written(counts.where(F.col("n") >= min_rows), "heavy")
-    return Heavy(table, table.count())
+    seen = Observation()
+    table = written(counts.where(F.col("n") >= min_rows).observe(seen, F.count(F.lit(1)).alias("keys")), "heavy")
+    return Heavy(table, seen.get["keys"])
 
 
 def bytes_of(df: DataFrame) -> int:
@@ -63,33 +64,6 @@ def split_heavy(df: DataFrame, key: str, heavy: Heavy, limit: int = BROADCAST_BY
     return joined(df, table.select(key), [key], "left_anti", limit), joined(df, table, [key], "inner", limit)
 
 
-def hot_groups(df: DataFrame, key: str, min_rows: int = 50_000, most: int = 1_000) -> dict:
-    """The groups too large for one task, with their exact row counts.
-
-    At most ``most`` groups come back (the largest), so the answer is bounded whatever the input.
-    A group that is not among them has fewer than ``min_rows`` rows, or less than one ``most``-th
-    of all rows. NULL keys are no group.
-    """
-    top = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("k"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), F.col("k"))
-        .limit(most)
-    )
-    return {row["k"]: row["n"] for row in top.collect() if row["n"] >= min_rows}
-
-
-def keys_frame(df: DataFrame, key: str, hot: dict, name: str = "rows") -> DataFrame:
-    """The hot groups as a table of (key, rows); bounded by what hot_groups returns."""
-    kind = df.schema[key].dataType.simpleString()
-    return df.sparkSession.createDataFrame(list(hot.items()), f"`{key}` {kind}, `{name}` bigint")
-
-
-def is_hot(key: str, hot: dict) -> Column:
-    return F.col(key).isin(list(hot)) if hot else F.lit(False)
-
-
 def positions(df: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
     """Rows of df with their 1-based position in their group, for groups larger than a task.
 

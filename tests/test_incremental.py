@@ -4,7 +4,7 @@ import random
 import pytest
 
 from lorespark.operators.incremental import IncrementalStore, changed_since
-from lorespark.runtime import scratch_path
+from lorespark.runtime import filesystem, scratch_path
 
 SCHEMA = "k bigint, a string, v string, at timestamp"
 T0 = dt.datetime(2026, 3, 1)
@@ -53,28 +53,68 @@ def test_nothing_changed_and_no_run(spark):
     assert changed_since(df.where("false"), None, scratch_path(spark, "inc"), *ARGS).collect() == []
 
 
-def test_failed_runs_lose_and_repeat_nothing(spark):
-    rng = random.Random(4)
-    store = IncrementalStore(spark, scratch_path(spark, "inc"), *ARGS)
-    rows, taken = [], {}
-    for step in range(4):
-        rows += log(rng, 200, step * 1000, 300)
-        df = spark.createDataFrame(rows, SCHEMA)
+STEPS = ["_write_blocks", "_changes", "publish"]
+
 
-        def fail(changes):
-            changes.count()
-            raise RuntimeError("lost executor")
+@pytest.mark.parametrize("step, when", [("_write_blocks", "after"), ("_changes", "after"), ("publish", "before"), ("publish", "after")])
+def test_a_run_killed_at_any_step_loses_and_repeats_nothing(spark, monkeypatch, step, when):
+    """Each change is in the published outputs exactly once, wherever an earlier try was killed."""
+    rng = random.Random(STEPS.index(step))
+    store = IncrementalStore(spark, scratch_path(spark, "inc"), *ARGS, block_bits=12)
+    rows = log(rng, 150, 0, 9000)
+    store.run(spark.createDataFrame(rows, SCHEMA))
+    rows += log(rng, 60, 1000, 9000)
+    df, real = spark.createDataFrame(rows, SCHEMA), getattr(IncrementalStore, step)
 
-        before = store.current()
+    def dies(self, *args):
+        if when == "after":
+            out = real(self, *args)
+            if step == "_changes":
+                out.collect()
+        raise RuntimeError("lost driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(IncrementalStore, step, dies)
         with pytest.raises(RuntimeError):
-            store.run(df, fail)
-        assert store.current() == before
-        seen = {}
-        store.run(df, lambda changes: seen.update({(r.k, r.a): r.v for r in changes.collect()}))
-        assert sorted(seen, key=str) == differing(taken, state(rows))
-        taken |= seen
-    assert taken == state(rows)
-    assert store.run(df).collect() == []
+            store.run(df)
+    store.run(df)
+    values, seen = {}, []
+    for version in store.manifest()["outputs"]:
+        part = {(r.k, r.a): r.v for r in store.output(version).collect()}
+        seen.append(part)
+        values |= part
+    assert values == state(rows)
+    assert sum(map(len, seen[1:])) == len(differing(state(rows[:150]), state(rows)))
+    fs, place = filesystem(spark, store.path)
+    names = {s.getPath().getName() for s in fs.listStatus(place)} - {"CURRENT"}
+    assert names <= {store.current(), *store.manifest()["outputs"], *store._holders(store.current())}
+
+
+def test_runs_write_in_proportion_to_what_changed(spark):
+    """Of 40 blocks one changes: it is written anew, the others stay where they are, and reading them back gives the whole state."""
+    store = IncrementalStore(spark, scratch_path(spark, "inc"), *ARGS, block_bits=12)
+    rows = [(k, a, "1", T0) for k in range(0, 40 * 4096, 64) for a in ("x", "y")]
+    store.run(spark.createDataFrame(rows, SCHEMA))
+    first = store.current()
+    rows.append((5 * 4096 + 64, "x", "2", T0 + dt.timedelta(seconds=1)))
+    assert [(r.k, r.a, r.v, r.change) for r in store.run(spark.createDataFrame(rows, SCHEMA)).collect()] == [(5 * 4096 + 64, "x", "2", "changed")]
+    assert {r.version: r["count"] for r in store._index(store.current()).groupBy("version").count().collect()} == {first: 39, store.current(): 1}
+    fs, place = filesystem(spark, store.path)
+    size = {s.getPath().getName(): fs.getContentSummary(s.getPath()).getLength() for s in fs.listStatus(place)}
+    assert size[store.current()] < size[first] / 4
+    assert {(r.k, r.a): r.v for r in store.state(store.current()).collect()} == state(rows)
+
+
+def test_transform_is_what_is_published_and_versions_are_gathered(spark, monkeypatch):
+    monkeypatch.setattr("lorespark.operators.incremental.MOST_VERSIONS", 2)
+    store = IncrementalStore(spark, scratch_path(spark, "inc"), *ARGS, block_bits=12)
+    rows = [(k * 4096, "x", "1", T0) for k in range(6)]
+    for step in range(4):
+        rows.append((step * 4096, "x", f"n{step}", T0 + dt.timedelta(seconds=step + 1)))
+        store.run(spark.createDataFrame(rows, SCHEMA), lambda c: c.groupBy("change").count())
+        assert {(r.k, r.a): r.v for r in store.state(store.current()).collect()} == state(rows)
+        assert len(store._holders(store.current())) <= 3
+    assert [sum(r["count"] for r in store.output(v).collect()) for v in store.manifest()["outputs"]] == [6, 1, 1, 1]
 
 
 def test_removed_keys_are_reported(spark):

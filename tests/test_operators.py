@@ -8,7 +8,7 @@ from lorespark.errors import InvalidLimitError
 from lorespark.functions.payload import check_schema, violations
 from lorespark.functions.stem import index_tokens, stem
 from lorespark.operators import evals, fusion, graph, records, text, vector
-from lorespark.operators.skew import hot_groups, lower_medians, positions
+from lorespark.operators.skew import lower_medians, positions
 from pyspark.sql import functions as F
 
 
@@ -33,13 +33,6 @@ def test_lower_medians(spark):
             assert got[g][k] == (have[(len(have) - 1) // 2] if have else None)
 
 
-def test_hot_groups(spark):
-    df = spark.createDataFrame([("a",)] * 50 + [("b",)] * 20 + [(None,)] * 90, "k string")
-    assert hot_groups(df, "k", 30) == {"a": 50}
-    assert hot_groups(df, "k", 1, most=1) == {"a": 50}
-    assert hot_groups(df.where("false"), "k", 1) == {}
-
-
 def test_supersede_and_retention_with_hot_keys(spark):
     rng = random.Random(2)
     rows = [(rng.choice(["hot", "hot", "x", "y", None]), i) for i in range(600)]
