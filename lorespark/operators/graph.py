@@ -62,16 +62,16 @@ def neighbours(
     return found.withColumn("__p", place).where(F.col("__p") <= cap).drop("__p")
 
 
-def search_expand(hits: DataFrame, edges: DataFrame, depth: int, limit: int = 10) -> DataFrame:
+def search_expand(hits: DataFrame, edges: DataFrame, depth: int, limit: int = 10, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, id, rank, hop): a query's first hits (hop 0) and what they reach both ways; a hit wins over a reached node.
 
-    hits: qid, id, rank. depth 0 gives the hits alone.
+    hits: qid, id, rank. depth 0 gives the hits alone. ``allowed`` (id): the nodes that may be on a path.
     """
     kept = hits.where(F.col("rank") <= checked_limit(limit)).select("qid", "id", "rank")
     first = kept.withColumn("hop", F.lit(0))
     if depth == 0:
         return first
-    reached = neighbours(edges, kept.select(F.col("id").alias("root")).distinct(), depth, "both")
+    reached = neighbours(edges, kept.select(F.col("id").alias("root")).distinct(), depth, "both", allowed)
     more = kept.join(reached.withColumnRenamed("id", "to"), kept["id"] == reached["root"]).groupBy("qid", F.col("to").alias("id")).agg(
         F.min("rank").alias("rank"), F.min("hop").alias("hop")
     )

@@ -159,12 +159,17 @@ def source_type(kind: str = "kind") -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col(kind))
 
 
+def canonical_text(value) -> str:
+    """A scalar as it is stored in an attribute: booleans are true and false."""
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def with_attributes(hits: DataFrame, attributes: DataFrame, wanted: tuple[tuple[str, str], ...], declared: set[str]) -> DataFrame:
     """Hits that have every wanted (attribute, text): one semi-join each, before any limit."""
     for name, value in wanted:
         if name not in declared:
             raise InvalidFilterError(f"{name} is not a filterable projection")
-        rows = attributes.where((F.col("attr_name") == name) & (F.col("attr_value") == F.lit(str(value))))
+        rows = attributes.where((F.col("attr_name") == name) & (F.col("attr_value") == F.lit(canonical_text(value))))
         hits = hits.join(rows.select("write_cursor"), "write_cursor", "left_semi")
     return hits
 

@@ -49,13 +49,13 @@ def get_many(nodes: DataFrame, ids: list[str | None], now: int, view: ReadView =
     )
 
 
-def boundary_crossings(nodes: DataFrame, since: int, as_of: int) -> DataFrame:
-    """Current rows whose validity begins or ends in (since, as_of]; both ends are reported."""
+def boundary_crossings(nodes: DataFrame, since: int, as_of: int, view: ReadView = ReadView()) -> DataFrame:
+    """Rows whose validity begins or ends in (since, as_of]; both ends are reported. Of the view only the existence axes count."""
     def crossed(c: str):
         return F.when((F.col(c) > since) & (F.col(c) <= as_of), F.col(c))
 
     return (
-        nodes.where(ReadView().existence())
+        nodes.where(view.existence())
         .select("write_cursor", "logical_id", crossed("valid_from").alias("opened_at"), crossed("valid_until").alias("closed_at"))
         .where(F.coalesce("opened_at", "closed_at").isNotNull())
     )

@@ -65,7 +65,12 @@ def bm25(docs: DataFrame, queries: DataFrame, model: Bm25 = ENGINE, digits: int
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean")).first()
     n, mean = stats["n"], stats["mean"] or 1.0
     asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    tf = term_frequencies(docs, asked)
+    return scored(term_frequencies(docs, asked), queries, n, mean, model, digits)
+
+
+def scored(tf: DataFrame, queries: DataFrame, n: int, mean: float, model: Bm25 = ENGINE, digits: int = 9) -> DataFrame:
+    """(qid, id, score, matched) by BM25 from postings (id, dl, term, tf) of the queries' terms, of n documents of mean length."""
+    asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     norm = model.k1 * (1 - model.b + model.b * F.col("dl") / F.lit(mean))
     part = model.weight(n) * F.col("tf") * (model.k1 + 1) / (F.col("tf") + norm)
@@ -94,8 +99,14 @@ def bm25f(docs: DataFrame, fields: dict[str, float], queries: DataFrame, k1: flo
         .groupBy("id", "term")
         .agg(F.sum("w").alias("tf"))
     )
+    return fielded(tf, queries, means["n"], k1)
+
+
+def fielded(tf: DataFrame, queries: DataFrame, n: int, k1: float = 1.2) -> DataFrame:
+    """(qid, id, score) by fielded BM25 from (id, term, tf), tf being the weighed sum over the fields, of n documents."""
+    asked = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    part = Bm25().weight(means["n"]) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1)
+    part = Bm25().weight(n) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1)
     return asked.join(df, "term").join(tf, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"))
 
 

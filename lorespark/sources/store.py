@@ -50,12 +50,16 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{p}" for p in parts))
 
-    def add(self, manifest: dict, name: str, df: DataFrame) -> None:
-        """Write a part and name it in a manifest that is not yet published."""
+    def read_part(self, name: str, part: str) -> DataFrame:
+        return self.spark.read.schema(struct(self.schemas[name])).parquet(f"{self.path}/{part}")
+
+    def add(self, manifest: dict, name: str, df: DataFrame) -> str:
+        """Write a part and name it in a manifest that is not yet published; returns the part."""
         part = f"{name}/{uuid.uuid4().hex}"
         columns = struct(self.schemas[name])
         df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in columns)).write.parquet(f"{self.path}/{part}")
         manifest["tables"].setdefault(name, []).append(part)
+        return part
 
     def replace(self, manifest: dict, name: str, df: DataFrame) -> None:
         """Write the table anew; the old parts stay until vacuum."""
