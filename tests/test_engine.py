@@ -215,3 +215,75 @@ def test_search_keeps_a_near_row_behind_many_of_equal_signs(spark):
     got = engine.search("1 0.01", limit=3)
     first = got.arms["vector"].where("rank = 1").first()
     assert first.key == "1 -0.01" and got.arms["vector"].count() == 100
+
+
+def _stored_text(engine):
+    """Every value of every stored table, as text."""
+    return {n: "\n".join(str(r) for r in engine.store.table(n).collect()) for n in engine.admin.dump_schema() if n != "audit"}
+
+
+def test_erasure_leaves_no_trace(engine, spark):
+    engine.configure_projections([ProjectionSpec("status", ("filterable", "searchable"))])
+    engine.write([
+        node("secretid", {"text": "zephyr plan", "status": "x"}, source="s1"), node("other", {"text": "zephyr notes", "status": "y"}, source="s2"),
+        {"type": "edge", "kind": "about", "from": "other", "to": "secretid", "source_id": "s1", "body": "zephyr fact"},
+    ])
+    engine.transition("secretid", "deleted", "secretreason")
+    engine.transition("secretid", "active")
+    engine.drain()
+    engine.enable_telemetry()
+    assert len(engine.search("zephyr").rows()) == 3
+    engine._flush()
+    engine.search("zephyr")
+    engine.record_feedback("q0-0", {1: 1, 2: 0}, "user")
+    engine.erase_source("s1")
+    assert [r.id for r in engine.search("zephyr").rows()] == [2]
+    events = engine.disable_telemetry()
+    assert [e["query_id"] for e in events] == ["q0-0", "q0-1", "q0-0", "q0-3"] and [e.get("result_ids") for e in events] == [[2], [2], None, [2]]
+    assert events[2]["labels"] == {2: 0}
+    stored = _stored_text(engine)
+    assert not any("secret" in t for t in stored.values())
+    for name in ("attributes", "vectors", "postings", "lengths"):
+        assert {r.write_cursor for r in engine.store.table(name).select("write_cursor").collect()} == {2}
+    files = [p.read_bytes() for p in __import__("pathlib").Path(engine.store.path).rglob("*.parquet") if "/audit/" not in str(p)]
+    assert files and not any(b"secretid" in f or b"secretreason" in f for f in files)
+
+
+def test_bulk_writes_are_checked_like_single_ones(engine, spark):
+    good = spark.createDataFrame([("note", '{"ok": true, "n": 1}', "s", 0.5, 1, 2)], "kind string, body string, source_id string, importance double, valid_from bigint, valid_until bigint")
+    for wrong in (
+        good.withColumn("importance", F.lit(5.0)), good.withColumn("importance", F.lit(float("nan"))), good.withColumn("valid_from", F.lit("1")),
+        good.withColumn("valid_from", F.lit(2)), good.withColumn("source_id", F.lit("_x")), good.withColumn("importance", F.lit("0.5")),
+    ):
+        with pytest.raises(WriteValidationError):
+            engine.write_frame("nodes", wrong)
+    with pytest.raises(WriteValidationError):
+        engine.write_frame("edges", good.select("kind", "source_id", F.lit("a").alias("from_id"), F.lit("b").alias("to_id"), F.lit(1.5).alias("confidence")))
+    engine.configure_projections([ProjectionSpec("ok"), ProjectionSpec("n")])
+    assert engine.write_frame("nodes", good.withColumn("valid_until", F.lit(9_999))) == 1
+    for value in (True, "true"):
+        assert engine.search("ok", SearchFilter(attributes=(("ok", value),))).hits.count() == 1
+    assert engine.search("ok", SearchFilter(attributes=(("ok", False),))).hits.count() == 0
+    trace = engine.search("ok", SearchFilter(kind="note"), explain=True).trace
+    assert trace["filter"] == {"kind": "note"} and trace["arms"] == {"vector": 1.0, "text": 3.0} and trace["vector"] == "exact"
+
+
+class _Failing(_Points):
+    """No vector for texts that begin with x."""
+
+    def column(self, name):
+        return F.when(~F.col(name).startswith("x"), F.array(F.lit(1.0), F.lit(2.0)))
+
+
+def test_failed_embeddings_are_recorded_and_vectors_need_a_role(spark):
+    engine = Engine.open(spark, scratch_path(spark, "engine"), embedder=_Failing(), clock=lambda: 1_500)
+    engine.write([node("a", "x1"), node("b", "1 2"), {"type": "edge", "kind": "knows", "from": "a", "to": "b", "source_id": "s", "body": "fact of b"},
+                  {"type": "edge", "kind": "likes", "from": "a", "to": "b", "source_id": "s", "body": "fact of a"}])
+    engine.configure_projections([ProjectionSpec("v", ("filterable",), vector=True)])
+    assert engine.drain(waits=(0,)) == 0  # declared, but not searchable: nothing is embedded
+    engine.configure_projections([ProjectionSpec("v", ("searchable",), vector=True)], drop=("v",))
+    assert engine.drain(waits=(0,)) == 1 and engine.drain(waits=()) == 0
+    assert [tuple(r) for r in engine.store.table("projection_failures").collect()] == [(1, "embedder", 1_500)]
+    facts = lambda f: sorted(r.kind for r in engine._facts(f, engine.store.manifest(), 1_500).select("kind").collect())
+    assert facts(None) == ["knows", "likes"] and facts(SearchFilter(kind="likes")) == ["likes"] and facts(SearchFilter(source_type="edge_fact")) == ["knows", "likes"]
+    assert facts(SearchFilter(created_after=1)) == facts(SearchFilter(source_type="note")) == facts(SearchFilter(attributes=(("v", "1"),))) == []
