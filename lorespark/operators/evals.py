@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 LADDER = (5, 10, 20, 50)
 #: A ratio is a regression beyond these.
 LATENCY_RISE, RECALL_DROP, HISTORY = 0.15, 0.03, 10
+#: Questions a class must have for a verdict, and what the low end of its gain must exceed.
+LEAST_QUESTIONS, SUFFICIENT_GAIN = 30, 0.04
 
 
 def recall_ladder(ranked: DataFrame, gold: DataFrame, ladder: tuple[int, ...] = LADDER) -> DataFrame:
@@ -27,6 +29,97 @@ def recall_ladder(ranked: DataFrame, gold: DataFrame, ladder: tuple[int, ...] =
     )
 
 
+def evidence_recall(ranked: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
+    """(qid, strict, graded, supporting): recall of a query's required evidence within its first k ranks, and of the supporting one.
+
+    ranked: qid, id, rank; repeated ids use up ranks. evidence: qid, id, necessity (required or supporting), per distinct
+    document. strict is 1 if everything required is there. A query without required evidence has strict and graded
+    1; without supporting evidence, supporting NULL.
+    """
+    wanted = evidence.groupBy("qid", "id").agg(F.bool_or(F.col("necessity") == "required").alias("req"), F.bool_or(F.col("necessity") == "supporting").alias("sup"))
+    hits = ranked.where(F.col("rank") <= k).select("qid", "id", F.lit(True).alias("hit")).distinct()
+    hit = F.coalesce("hit", F.lit(False))
+    sums = wanted.join(hits, ["qid", "id"], "left").groupBy("qid").agg(
+        F.count_if("req").alias("r"), F.count_if(F.col("req") & hit).alias("rh"), F.count_if("sup").alias("s"), F.count_if(F.col("sup") & hit).alias("sh")
+    )
+    return sums.select(
+        "qid",
+        F.when(F.col("rh") == F.col("r"), 1.0).otherwise(0.0).alias("strict"),
+        F.round(F.when(F.col("r") == 0, 1.0).otherwise(F.col("rh") / F.col("r")), 6).alias("graded"),
+        F.round(F.when(F.col("s") > 0, F.col("sh") / F.col("s")), 6).alias("supporting"),
+    )
+
+
+def normal_interval(df: DataFrame, group: str, value: str, z: float = 1.96) -> DataFrame:
+    """(group, n, mean, low, high): each group's mean and its interval of z standard errors (of the sample); of one value, the value."""
+    spread = F.coalesce(F.stddev_samp(value), F.lit(0.0)) * z / F.sqrt(F.count(value))
+    return df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), spread.alias("w")).select(
+        group, "n", F.round("mean", 6).alias("mean"), F.round(F.col("mean") - F.col("w"), 6).alias("low"), F.round(F.col("mean") + F.col("w"), 6).alias("high")
+    )
+
+
+def clears_floor(high: Column, floor: float) -> Column:
+    """The recall gate: a measured recall fails only if the upper end of its interval lies below the floor."""
+    return F.coalesce(high >= floor, F.lit(False))
+
+
+def sufficiency(classes: DataFrame, least: int = LEAST_QUESTIONS, threshold: float = SUFFICIENT_GAIN) -> DataFrame:
+    """classes (class, n, low) with a verdict each, and a row with a NULL class for all of them.
+
+    A class of fewer than ``least`` questions is UNDERPOWERED, one without an interval NO_DATA; it is SUFFICIENT if the low end of
+    its gain's interval is above the threshold, else CEILING_ABSORBED. Overall one sufficient class is enough;
+    without one it is CEILING_ABSORBED if any class was, else INCONCLUSIVE.
+    """
+    verdict = (
+        F.when(F.col("n") < least, "UNDERPOWERED").when(F.col("low").isNull(), "NO_DATA").when(F.col("low") > threshold, "SUFFICIENT").otherwise("CEILING_ABSORBED")
+    )
+    each = classes.select("class", verdict.alias("verdict"))
+    any_of = lambda v: F.count_if(F.col("verdict") == v) > 0
+    overall = F.when(any_of("SUFFICIENT"), "SUFFICIENT").when(any_of("CEILING_ABSORBED"), "CEILING_ABSORBED").otherwise("INCONCLUSIVE")
+    return each.unionByName(each.agg(overall.alias("verdict")).withColumn("class", F.lit(None).cast(classes.schema["class"].dataType)))
+
+
+def measurable(k: Column, limit: Column, most: int = 100) -> Column:
+    """Whether recall at depth k can be measured under a result limit: yes, raise the limit, or never (beyond what any search gives)."""
+    return F.when(k <= limit, "yes").when(k > most, "never").otherwise("raise the limit")
+
+
+def graph_coverage(mentions: DataFrame, least: float = 1.0) -> DataFrame:
+    """One row on how well a mention graph covers its questions. mentions: question, names (array), one row per question.
+
+    questions, covered (with at least one name), coverage, entities, edges (pairs of names that meet in a question), the medians
+    of both per question, and ok: something is covered, enough is, and there are edges.
+    """
+    names = F.array_distinct(F.filter(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    n = mentions.select(F.size(names).alias("n")).withColumn("e", F.expr("n * (n - 1) div 2"))
+    out = n.agg(
+        F.count(F.lit(1)).alias("questions"), F.count_if(F.col("n") > 0).alias("covered"), F.coalesce(F.sum("n"), F.lit(0)).alias("entities"),
+        F.coalesce(F.sum("e"), F.lit(0)).alias("edges"), F.percentile("n", 0.5).alias("median_entities"), F.percentile("e", 0.5).alias("median_edges"),
+    )
+    share = F.when(F.col("questions") > 0, F.col("covered") / F.col("questions")).otherwise(0.0)
+    return out.withColumn("coverage", F.round(share, 6)).withColumn(
+        "ok", (F.col("questions") > 0) & (share >= least) & (F.col("entities") > 0) & (F.col("edges") > 0)
+    )
+
+
+def build_gold(rows: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gold, dropped) of question rows (qa_id, question, negative, evidence) against the ids of a corpus (doc_id).
+
+    gold: query_id, query, negative, required (the evidence that the corpus has, in its order; none for a negative). dropped:
+    qa_id, reason: no id, an empty question, or evidence of which nothing is in the corpus.
+    """
+    asked = rows.select("qa_id", F.trim("question").alias("query"), F.coalesce("negative", F.lit(False)).alias("negative"), "evidence")
+    reason = F.when(F.coalesce("qa_id", F.lit("")) == "", "missing qa_id").when(F.coalesce("query", F.lit("")) == "", "empty question")
+    asked = asked.withColumn("reason", reason)
+    at = asked.where("reason IS NULL AND NOT negative").select("qa_id", F.posexplode("evidence").alias("p", "doc_id"))
+    there = at.join(corpus.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("qa_id").agg(F.sort_array(F.collect_set(F.struct("p", "doc_id"))).alias("x"))
+    both = asked.join(there, "qa_id", "left").withColumn("required", F.array_distinct(F.transform("x", lambda e: e["doc_id"])))
+    both = both.withColumn("reason", F.coalesce("reason", F.when(~F.col("negative") & F.col("required").isNull(), "no evidence in the corpus")))
+    none = F.array().cast(rows.schema["evidence"].dataType)
+    gold = both.where("reason IS NULL").select(F.col("qa_id").alias("query_id"), "query", "negative", F.coalesce(F.when(~F.col("negative"), F.col("required")), none).alias("required"))
+    return gold, both.where("reason IS NOT NULL").select("qa_id", "reason")
+
+
 def mrr_ndcg(ranked: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
     """(qid, hit, rr, ndcg): whether a gold id is within k, 1 / its first rank, and nDCG with gains of 1 and 1 / log2(rank + 1)."""
     wanted = gold.select("qid", "id").distinct()
@@ -176,18 +269,20 @@ def nearest_centroid(docs: DataFrame, smooth: bool = True) -> DataFrame:
     return scored.withColumn("r", best).where("r = 1").select("id", "label", "predicted")
 
 
-def perf_drift(runs: DataFrame, history: int = HISTORY) -> DataFrame:
+def perf_drift(runs: DataFrame, history: int = HISTORY, recall: bool = False) -> DataFrame:
     """(series, latest, median, change, verdict): each series' latest value against the median of up to ``history`` before it.
 
-    runs: series, at, sha, value (a latency). Fewer than two runs are insufficient. Latest is by time, then sha.
+    runs: series, at, sha, value: a latency, which regresses by a share of the median, or a ``recall``, which does by a
+    drop of more than RECALL_DROP (change is the difference then). Fewer than two runs are insufficient. Latest is by time, then sha.
     """
     place = F.row_number().over(Window.partitionBy("series").orderBy(F.col("at").desc(), F.col("sha").desc()))
     recent = runs.where("value IS NOT NULL").withColumn("r", place).where(F.col("r") <= history + 1)
     per = recent.groupBy("series").agg(
         F.max(F.when(F.col("r") == 1, F.col("value"))).alias("latest"), F.percentile(F.when(F.col("r") > 1, F.col("value")), 0.5).alias("median")
     )
-    change = F.col("latest") / F.col("median") - 1
-    verdict = F.when(F.col("median").isNull(), "insufficient").when(change > LATENCY_RISE, "regression").otherwise("ok")
+    change = F.col("latest") - F.col("median") if recall else F.col("latest") / F.col("median") - 1
+    worse = -change > RECALL_DROP if recall else change > LATENCY_RISE
+    verdict = F.when(F.col("median").isNull(), "insufficient").when(worse, "regression").otherwise("ok")
     return per.select("series", F.round("latest", 6).alias("latest"), F.round("median", 6).alias("median"), F.round(change, 6).alias("change"), verdict.alias("verdict"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -86,6 +87,13 @@ def rerank_blend(hits: DataFrame, logit: str, depth: int, alpha: float = 0.3, po
     return blended.withColumn("rank", F.row_number().over(order))
 
 
+def fused_rerank(arms: list[Arm], reranker: Callable[[DataFrame], DataFrame], depth: int, alpha: float = 0.3) -> DataFrame:
+    """The evaluation harness's pool, fused without weights, whose first ``depth`` a reranker puts in order; the others follow as they
+    were. reranker adds a column logit. Columns of rrf, with rank the new and fused_rank the old place."""
+    pool = reranker(rrf(arms, HARNESS_K)).withColumn("fused_rank", F.col("rank"))
+    return rerank_blend(pool, "logit", depth, alpha)
+
+
 def pooled(passages: DataFrame, how: str) -> DataFrame:
     """(qid, doc, score, rank): a document's score from its passages' (qid, doc, score): max, mean or mean of two best."""
     score = {

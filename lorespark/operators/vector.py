@@ -92,6 +92,41 @@ def two_phase(vectors: DataFrame, queries: DataFrame, k: int, mean: list[float]
     return pairs.select("qid", "id", F.round(F.sqrt(square), 9).alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def candidates_for(vectors: DataFrame, sample: DataFrame, k: int, share: float = 0.95, mean: list[float] | None = None, margin: float = 1.25) -> int:
+    """How many sign-bit candidates two_phase needs on these rows, measured: for the sampled queries (qid, v; at most BLOCK are
+    looked at), the mean number of rows that are no further in sign bits than ``share`` of the k true neighbours, times margin.
+
+    One exact search and one counting pass over all rows; only a number per query comes back.
+    """
+    sample = sample.select("qid", "v").where("v IS NOT NULL").orderBy(F.xxhash64("qid")).limit(BLOCK)
+    near = nearest(vectors, sample, k).select("qid", "id").join(vectors.select("id", F.col("v").alias("w")), "id").join(sample, "qid")
+    centre = F.array(*(F.lit(float(x)) for x in mean)) if mean is not None else None
+
+    def bits(v: str):
+        return F.transform(v, lambda x: x > 0) if centre is None else F.zip_with(v, centre, lambda x, m: x > m)
+
+    apart = F.aggregate(F.zip_with(bits("v"), bits("w"), lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
+    wanted = max(1, int(np.ceil(share * k)))
+    reach = near.select("qid", apart.alias("d")).groupBy("qid").agg(F.get(F.sort_array(F.collect_list("d")), F.lit(wanted - 1)).alias("d"))
+    rows = sample.join(reach.where("d IS NOT NULL"), "qid").collect()  # at most BLOCK
+    if not rows:
+        return CANDIDATES
+    sent = vectors.sparkSession.sparkContext.broadcast((np.array([r.v for r in rows], dtype=np.float64), np.array([r.d for r in rows])))
+    off = None if mean is None else np.array(mean)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, limit = sent.value
+        total = np.zeros(len(q), dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                m = np.array(batch.column(0).to_pylist(), dtype=np.float64)
+                total += (_distances("hamming", q, m, off) <= limit[:, None]).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([int(total.sum())])], names=["n"])
+
+    inside = vectors.select("v").where("v IS NOT NULL").mapInArrow(count, "n bigint").agg(F.sum("n")).first()[0]
+    return max(CANDIDATES, int(np.ceil(margin * inside / len(rows))))
+
+
 def mean_vector(vectors: DataFrame, first: int | None = None) -> DataFrame:
     """(dim, mean) over all rows, or over the ``first`` rows by id."""
     rows = vectors if first is None else vectors.orderBy("id").limit(first)

@@ -176,6 +176,77 @@ def _(spark, sf):
     return E.perf_drift(days.withColumn("sha", F.lit("")))
 
 
+@query("perf_drift_recall", """WITH d AS (SELECT event_type AS series, CAST(ts AS DATE) AS day, round(median(value) / 100, 9) AS value FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day DESC) AS r FROM d), p AS (SELECT series, max(value) FILTER (r = 1) AS latest, median(value) FILTER (r BETWEEN 2 AND 11) AS median FROM r GROUP BY series)
+SELECT series, round(latest, 6) AS latest, round(median, 6) AS median, round(latest - median, 6) AS change, CASE WHEN median IS NULL THEN 'insufficient' WHEN median - latest > 0.03 THEN 'regression' ELSE 'ok' END AS verdict FROM p""")
+def _(spark, sf):
+    days = read(spark, sf, "events").groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("at")).agg(F.round(F.median("value") / 100, 9).alias("value"))
+    return E.perf_drift(days.withColumn("sha", F.lit("")), recall=True)
+
+
+_EVIDENCE = "ev AS (SELECT qid, id, bool_or(relevance > 0) AS req, bool_or(relevance = 0) AS sup FROM labels GROUP BY ALL)"
+
+
+@query("evidence_recall", f"""WITH {_RUN}, {_EVIDENCE}, h AS (SELECT DISTINCT qid, id, true AS hit FROM ranked WHERE rank <= 20),
+a AS (SELECT qid, count(*) FILTER (req) AS r, count(*) FILTER (req AND hit) AS rh, count(*) FILTER (sup) AS s, count(*) FILTER (sup AND hit) AS sh FROM ev LEFT JOIN h USING (qid, id) GROUP BY qid)
+SELECT qid, CASE WHEN rh = r THEN 1.0 ELSE 0.0 END AS strict, round(CASE WHEN r = 0 THEN 1.0 ELSE rh / r END, 6) AS graded, round(CASE WHEN s > 0 THEN sh / s END, 6) AS supporting FROM a""")
+def _(spark, sf):
+    ev = _labels(spark, sf).select("qid", "id", F.when(F.col("relevance") > 0, "required").otherwise("supporting").alias("necessity"))
+    return E.evidence_recall(_ranked(spark, sf), ev, 20)
+
+
+@query("recall_gate", f"""WITH {_RUN}, {_MET}, r AS (SELECT qid, round(count(*) FILTER (rank <= 50) / count(*), 6) AS recall FROM met GROUP BY qid),
+c AS (SELECT query_id AS qid, min(embedder_id) AS cls FROM gold_records GROUP BY 1),
+i AS (SELECT cls, count(recall) AS n, avg(recall) AS mean, coalesce(stddev_samp(recall), 0) * 1.96 / sqrt(count(recall)) AS w FROM r JOIN c USING (qid) GROUP BY cls)
+SELECT cls, n, round(mean, 6) AS mean, round(mean - w, 6) AS low, round(mean + w, 6) AS high, round(mean + w, 6) >= 0.9 AS clears FROM i""")
+def _(spark, sf):
+    r = E.recall_ladder(_ranked(spark, sf), _gold(spark, sf), (50,))
+    c = read(spark, sf, "gold_records").groupBy(F.col("query_id").alias("qid")).agg(F.min("embedder_id").alias("cls"))
+    return E.normal_interval(r.join(c, "qid"), "cls", "recall").withColumn("clears", E.clears_floor(F.col("high"), 0.9))
+
+
+@query("decision_ladder", """WITH u AS (SELECT user_id, avg(value) AS base FROM events GROUP BY 1),
+d AS (SELECT event_type AS class, user_id, round(avg(value) - any_value(base), 9) AS gain FROM events JOIN u USING (user_id) GROUP BY ALL),
+i AS (SELECT class, count(gain) AS n, round(avg(gain) - coalesce(stddev_samp(gain), 0) * 1.96 / sqrt(count(gain)), 6) AS low FROM d GROUP BY class),
+v AS (SELECT class, CASE WHEN n < 30 THEN 'UNDERPOWERED' WHEN low IS NULL THEN 'NO_DATA' WHEN low > 0.04 THEN 'SUFFICIENT' ELSE 'CEILING_ABSORBED' END AS verdict FROM i)
+SELECT class, verdict FROM v UNION ALL SELECT NULL, CASE WHEN count(*) FILTER (verdict = 'SUFFICIENT') > 0 THEN 'SUFFICIENT' WHEN count(*) FILTER (verdict = 'CEILING_ABSORBED') > 0 THEN 'CEILING_ABSORBED' ELSE 'INCONCLUSIVE' END FROM v""")
+def _(spark, sf):
+    e = read(spark, sf, "events")
+    base = e.groupBy("user_id").agg(F.avg("value").alias("base"))
+    gain = e.groupBy(F.col("event_type").alias("class"), "user_id").agg(F.avg("value").alias("v")).join(base, "user_id")
+    return E.sufficiency(E.normal_interval(gain.withColumn("gain", F.round(F.col("v") - F.col("base"), 9)), "class", "gain"))
+
+
+@query("depth_measurability", """SELECT CAST(k AS INTEGER) AS k, CAST(l AS INTEGER) AS "limit", CASE WHEN k <= l THEN 'yes' WHEN k > 100 THEN 'never' ELSE 'raise the limit' END AS measurable
+FROM (SELECT DISTINCT pool_rank + 1 AS k FROM pool WHERE pool_rank < 300) p, (VALUES (10), (50), (100)) t(l)""")
+def _(spark, sf):
+    k = read(spark, sf, "pool").where("pool_rank < 300").select((F.col("pool_rank") + 1).cast("int").alias("k")).distinct()
+    rows = k.withColumn("limit", F.explode(F.array(F.lit(10), F.lit(50), F.lit(100))))
+    return rows.select("k", "limit", E.measurable(F.col("k"), F.col("limit")).alias("measurable"))
+
+
+@query("graph_coverage", """WITH m AS (SELECT doc_id, list_distinct(list_filter(list_transform(flatten(list(coalesce(people_mentions, []))), lambda x: lower(trim(x))), lambda x: x <> '')) AS names FROM corpus_docs GROUP BY doc_id),
+n AS (SELECT len(names) AS n, len(names) * (len(names) - 1) // 2 AS e FROM m)
+SELECT count(*) AS questions, count(*) FILTER (n > 0) AS covered, CAST(sum(n) AS BIGINT) AS entities, CAST(sum(e) AS BIGINT) AS edges, median(n) AS median_entities, median(e) AS median_edges,
+  round(count(*) FILTER (n > 0) / count(*), 6) AS coverage, count(*) FILTER (n > 0) / count(*) >= 0.5 AND sum(n) > 0 AND sum(e) > 0 AS ok FROM n""")
+def _(spark, sf):
+    names = F.flatten(F.collect_list(F.coalesce("people_mentions", F.array().cast("array<string>"))))
+    return E.graph_coverage(read(spark, sf, "corpus_docs").groupBy(F.col("doc_id").alias("question")).agg(names.alias("names")), 0.5)
+
+
+@query("gold_build", """WITH g AS (SELECT DISTINCT query_id, l.id AS id, l.relevance > 0 AS rel FROM (SELECT query_id, unnest(labels) AS l FROM gold_records)),
+n AS (SELECT query_id, count(DISTINCT id) FILTER (rel AND id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL)) AS n FROM g GROUP BY query_id)
+SELECT query_id, CASE WHEN n > 0 THEN n END AS required, CASE WHEN n = 0 THEN 'no evidence in the corpus' END AS reason FROM n""")
+def _(spark, sf):
+    """Questions with the documents that ground them, and why the others were dropped."""
+    g = read(spark, sf, "gold_records").select("query_id", F.explode("labels").alias("l"))
+    rows = g.groupBy(F.col("query_id").alias("qa_id")).agg(F.collect_set(F.when(F.col("l.relevance") > 0, F.col("l.id"))).alias("evidence"))
+    rows = rows.select("qa_id", F.col("qa_id").alias("question"), F.lit(False).alias("negative"), "evidence")
+    gold, dropped = E.build_gold(rows, read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id"))
+    gold = gold.select("query_id", F.size("required").cast("bigint").alias("required"), F.lit(None).cast("string").alias("reason"))
+    return gold.unionByName(dropped.select(F.col("qa_id").alias("query_id"), F.lit(None).cast("bigint").alias("required"), "reason"))
+
+
 @query("latency_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def _(spark, sf):
     e = read(spark, sf, "events")
@@ -260,6 +331,19 @@ def _(spark, sf):
     return read(spark, sf, "corpus_docs").select("doc_id", derived_id("provenance", "url_or_external_id").alias("derived")).distinct()
 
 
+@query("corpus_ingest", """SELECT DISTINCT 'node' AS item, doc_id AS a, NULL AS b, source_type AS kind FROM corpus_docs WHERE doc_id IS NOT NULL
+UNION ALL SELECT DISTINCT 'edge', doc_id, parent_doc_id, 'follows_up_on' FROM corpus_docs WHERE doc_id IS NOT NULL AND parent_doc_id IS NOT NULL""")
+def _(spark, sf):
+    from lorespark.sources.corpus import corpus_items
+
+    rows = read(spark, sf, "corpus_docs")
+    chains = rows.where("parent_doc_id IS NOT NULL").select(F.array("parent_doc_id", "doc_id").alias("doc_ids"), F.lit("follows_up_on").alias("relation"))
+    n, e = corpus_items(rows, chains)
+    return n.select(F.lit("node").alias("item"), F.col("logical_id").alias("a"), F.lit(None).cast("string").alias("b"), "kind").unionByName(
+        e.select(F.lit("edge").alias("item"), F.col("from_id").alias("a"), F.col("to_id").alias("b"), "kind")
+    )
+
+
 def queries() -> dict:
     return dict(Q)
 

@@ -266,6 +266,18 @@ def _(spark, sf):
     return exact.join(found, ["qid", "id"], "left").groupBy("qid").agg(F.round(F.count("hit") / 10, 6).alias("recall"))
 
 
+@query("ann_recall_floor", """WITH q AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL)
+SELECT n AS queries, true AS clears_floor FROM q""")
+def _(spark, sf):
+    """Two-phase search with as many candidates as a sample of the rows needs; its recall at 10 over the query set against the floor."""
+    v, q = _vec(spark, sf), _qvec(spark, sf)
+    size = V.candidates_for(v, v.where("id % 100 = 50").select(F.col("id").alias("qid"), "v"), 10)
+    exact = V.nearest(v, q, 10).select("qid", "id")
+    found = V.two_phase(v, q, 10, candidates=size).select("qid", "id", F.lit(1).alias("hit"))
+    each = exact.join(found, ["qid", "id"], "left").groupBy("qid").agg((F.count("hit") / F.count(F.lit(1))).alias("r"))
+    return each.agg(F.count(F.lit(1)).alias("queries"), (F.avg("r") >= 0.9).alias("clears_floor"))
+
+
 _STEP = """a{0} AS (SELECT write_cursor, v, arg_min(cluster, (d, cluster)) AS cluster FROM (SELECT write_cursor, vectors.v, cluster, round(list_distance(vectors.v, c{0}.v), 9) AS d FROM vectors, c{0}) GROUP BY write_cursor, v),
 c{1} AS (SELECT cluster, list(x ORDER BY dim) AS v FROM (SELECT cluster, dim, avg(v[dim]) AS x FROM a{0}, unnest(range(1, len(v) + 1)) t(dim) GROUP BY cluster, dim) GROUP BY cluster)"""
 
@@ -350,6 +362,17 @@ def _(spark, sf):
     return FU.rerank_blend(hits, "logit", 50).select("qid", "id", F.round("ce_score", 6).alias("ce_score"), "rank")
 
 
+@query("fused_rerank", f"""WITH {_fused_sql(60.0, 1.0, 1.0)}, x AS (SELECT *, rank <= 20 AS inside, (id % 13) / 3.0 - 2 AS logit FROM fused),
+y AS (SELECT *, min(CASE WHEN inside THEN score END) OVER q AS lo, max(CASE WHEN inside THEN score END) OVER q AS hi FROM x WINDOW q AS (PARTITION BY qid)),
+z AS (SELECT qid, id, rank, inside, CASE WHEN inside THEN round(0.3 * (1 / (1 + exp(-logit))) + (1 - 0.3) * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END, 9) END AS ce_score FROM y)
+SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN inside THEN 0 ELSE 1 END, ce_score DESC NULLS LAST, rank) AS INTEGER) AS rank, CAST(rank AS INTEGER) AS fused_rank FROM z""")
+def _(spark, sf):
+    """The fused pool of the evaluation arms, its first twenty put in order by a reranker, the rest after them as they were."""
+    near, lexical = _arm_rows(spark, sf)
+    logit = lambda hits: hits.withColumn("logit", (F.col("id") % 13) / 3.0 - 2)
+    return FU.fused_rerank([FU.Arm("vector", near), FU.Arm("text", lexical)], logit, 20).select("qid", "id", "rank", "fused_rank")
+
+
 @query("passage_pooling", """WITH p AS (SELECT query_id AS qid, doc_id AS doc, ce_norm AS score FROM pool WHERE query_id IS NOT NULL AND ce_norm IS NOT NULL AND NOT isnan(ce_norm)),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid, doc ORDER BY score DESC) AS n FROM p)
 SELECT qid, doc, round(max(score), 9) AS best, round(avg(score), 9) AS mean, round(avg(score) FILTER (n <= 2), 9) AS top2 FROM r GROUP BY qid, doc""")

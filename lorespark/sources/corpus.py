@@ -42,6 +42,55 @@ def freeze(df: DataFrame, source: str = "provenance") -> DataFrame:
     )
 
 
+def read_chains(spark: SparkSession, path: str) -> DataFrame:
+    """(chain_id, doc_ids, relation) of a folder of chain files, one JSON object each."""
+    kinds = "chain_id string, doc_ids array<string>, relation_type string"
+    return spark.read.schema(kinds).json(path, multiLine=True).select("chain_id", "doc_ids", F.coalesce("relation_type", F.lit("follows_up_on")).alias("relation"))
+
+
+def corpus_items(docs: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) for bulk writing: a node per corpus document, and an edge from each document of a chain to the one before.
+
+    docs: corpus documents; of several versions the latest is taken, rows without an id are left out. chains: doc_ids (in order),
+    relation. Links of NULL ids are left out, repeated ones count once.
+    """
+    last = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max(F.struct(F.coalesce("modified_at", F.lit("")).alias("m"), "source_type", "title", "body", "provenance")).alias("x")
+    )
+    nodes = last.select(
+        F.col("x.source_type").alias("kind"), F.to_json(F.struct("x.title", "x.body")).alias("body"), F.col("doc_id").alias("logical_id"),
+        F.concat(F.lit("corpus:"), F.coalesce("x.provenance", F.lit("unknown"))).alias("source_id"),
+    )
+    pairs = F.transform(F.sequence(F.lit(1), F.size("doc_ids") - 1), lambda i: F.struct(F.get("doc_ids", i).alias("a"), F.get("doc_ids", i - 1).alias("b")))
+    links = chains.where(F.size("doc_ids") > 1).select("relation", F.explode(pairs).alias("p")).where("p.a IS NOT NULL AND p.b IS NOT NULL")
+    edges = links.select(F.col("relation").alias("kind"), F.col("p.a").alias("from_id"), F.col("p.b").alias("to_id"), F.lit("corpus:chains").alias("source_id")).distinct()
+    return nodes, edges
+
+
+#: An instant as performance records must write it.
+_RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$"
+
+
+def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, rejected) of a folder of performance records, one JSON object a file.
+
+    runs: series (ac_id and n), at, sha, metric (p50_ms, p99_ms or recall), value: a row per metric. rejected: file, reason: a record
+    must have a commit, an id and a size, a strict RFC 3339 instant that exists, and at least one metric.
+    """
+    kinds = "commit_sha string, ac_id string, n bigint, p50_ms double, p99_ms double, recall double, timestamp string"
+    rows = spark.read.schema(kinds).json(path, multiLine=True).withColumn("file", F.input_file_name())
+    at = F.when(F.col("timestamp").rlike(_RFC3339), F.try_to_timestamp("timestamp"))
+    reason = (
+        F.when(F.col("commit_sha").isNull() | F.col("ac_id").isNull() | F.col("n").isNull(), "incomplete")
+        .when(at.isNull(), "timestamp")
+        .when(F.coalesce("p50_ms", "p99_ms", "recall").isNull(), "no metric")
+    )
+    rows = rows.withColumn("reason", reason).withColumn("at", at)
+    metrics = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("p50_ms", "p99_ms", "recall"))))
+    good = rows.where("reason IS NULL").select(F.concat_ws("/", "ac_id", "n").alias("series"), "at", F.col("commit_sha").alias("sha"), metrics.alias("m"))
+    return good.select("series", "at", "sha", "m.metric", "m.value").where("value IS NOT NULL"), rows.where("reason IS NOT NULL").select("file", "reason")
+
+
 def differences(now: DataFrame, manifest: DataFrame, source: str = "provenance") -> DataFrame:
     """Sources whose count or digest is not that of the manifest; no rows mean the corpus is reproduced."""
     a, b = now.alias("a"), manifest.alias("b")
