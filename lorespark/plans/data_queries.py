@@ -28,6 +28,12 @@ def p2_wide(spark: SparkSession, sf: str) -> DataFrame:
     return widen(_read(spark, sf, "canonical_attributes"), _declared(spark, sf))
 
 
+def p2_wide_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide table with its typed columns; days as text, so that SQL results compare."""
+    wide = p2_wide(spark, sf)
+    return wide.select(*(F.col(f.name).cast("string").alias(f.name) if f.dataType.typeName() == "date" else F.col(f.name) for f in wide.schema))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     snapshot = last_successful(_read(spark, sf, "projection_runs"), "attributes")
     found = changed_since(
@@ -78,6 +84,26 @@ cells AS (
 SELECT write_cursor, attr_name, cell FROM cells WHERE cell IS NOT NULL
 """
 
+#: The declared attributes and their types, in the order of the fixed table attribute_types.
+_TYPES = {
+    "status": "text", "priority": "integer", "owner": "text", "due_on": "date", "effort_hours": "number", "is_blocked": "boolean", "reviewed": "boolean",
+    "opened_on": "date", "score": "number", "retries": "integer", "locale": "text", "budget": "number", "headcount": "integer", "confidential": "boolean",
+    "sunset_on": "date",
+}
+
+
+def _wide_sql() -> str:
+    """The cells as SQL reads them, one column each; numbers from their digits."""
+    form = {"text": "{}", "integer": "CAST({} AS BIGINT)", "boolean": "CAST({} AS BOOLEAN)", "date": "{}"}
+    columns = []
+    for name, kind in _TYPES.items():
+        mine = f"FILTER (attr_name = '{name}')"
+        cell = f"max(CASE WHEN cell IS NOT NULL THEN TRY_CAST(replace(v, ',', '') AS DOUBLE) END) {mine}" if kind == "number" else form[kind].format(f"max(cell) {mine}")
+        columns.append(f"{cell} AS {name}")
+    cells = _CELLS[: _CELLS.rindex("SELECT write_cursor, attr_name, cell FROM cells")].replace("SELECT write_cursor, attr_name, value_type,\n    CASE value_type", "SELECT write_cursor, attr_name, v,\n    CASE value_type")
+    return cells + f"SELECT write_cursor, {', '.join(columns)} FROM cells GROUP BY write_cursor"
+
+
 _CHANGED = """
 WITH snap AS (SELECT max(snapshot_at) AS snap_at FROM projection_runs WHERE projection = 'attributes' AND status = 'succeeded'),
 now AS (
@@ -94,8 +120,8 @@ WHERE there IS NULL OR now.attr_value IS DISTINCT FROM o.attr_value
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_wide": p2_wide, "p5_found": p5_found}
+    return {"p2_found": p2_found, "p2_wide": p2_wide, "p2_wide_text": p2_wide_text, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _CELLS, "p5_found": _CHANGED}
+    return {"p2_found": _CELLS, "p2_wide_text": _wide_sql(), "p5_found": _CHANGED}

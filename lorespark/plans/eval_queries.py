@@ -261,11 +261,12 @@ SELECT x.qid, count(*) AS pairs, round((2.0 * count(*) FILTER (x.b < y.b) - coun
 def _(spark, sf):
     v = vectors(spark, sf).select(F.col("write_cursor").alias("id"), "v")
     q = v.where("id % 100 = 0").select(F.col("id").alias("qid"), "v")
-    half = lambda d: d.withColumn("v", F.slice("v", 1, 32))
-    n = v.count()  # ranks of the half-length vectors over all rows
-    a = V.nearest(v, q, 50).select("qid", "id", F.col("rank").alias("a"))
-    b = V.nearest(half(v), half(q), n).select("qid", "id", F.col("rank").alias("b"))
-    return E.kendall_tau(a.join(b, ["qid", "id"]), "qid", "a", "b", "id")
+    # Only the first fifty are put in order by the half-length vectors: tau asks for their order, not for their places among all rows.
+    a = V.nearest(v, q, 50).select("qid", "id", F.col("rank").alias("a")).join(v.select("id", F.slice("v", 1, 32).alias("m")), "id")
+    square = F.aggregate(F.zip_with("m", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    both = a.join(q.select("qid", F.slice("v", 1, 32).alias("q")), "qid").withColumn("h", F.round(square, 9))
+    both = both.withColumn("b", F.row_number().over(Window.partitionBy("qid").orderBy("h", "id")))
+    return E.kendall_tau(both, "qid", "a", "b", "id")
 
 
 @query("label_recall_vectors", f"""WITH {VECTORS_SQL}, n AS (SELECT q.write_cursor AS qid, q.label AS label, m.label AS other, row_number() OVER (PARTITION BY q.write_cursor ORDER BY round(list_distance(q.v, m.v), 9), m.write_cursor) AS r

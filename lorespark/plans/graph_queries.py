@@ -78,14 +78,36 @@ def _(spark, sf):
 _ARM_LIVE = _LIVE[:-1] + " AND NOT temporal_fallback)"
 
 
-@query("graph_arm", _bfs_sql(2, "both", live=_ARM_LIVE) + """, kinds AS (SELECT to_id AS id, CASE WHEN count(*) % 2 = 0 THEN 'unknown' ELSE 'topic' END AS kind FROM edges GROUP BY to_id),
-scored AS (SELECT root AS qid, id, round(1.0 / (1 + hop) * CASE WHEN kind = 'unknown' THEN 0.3 ELSE 1.0 END, 9) AS weight FROM found LEFT JOIN kinds USING (id))
+_SEEDS = """asked AS (SELECT DISTINCT user_id AS q FROM events WHERE user_id % 100 = 0), users AS (SELECT DISTINCT user_id FROM events),
+seeds AS (SELECT 'u:' || q AS qid, 'u:' || user_id AS id, user_id - q + 1 AS place FROM asked JOIN users ON user_id BETWEEN q AND q + 12),
+roots AS (SELECT DISTINCT id AS root FROM seeds WHERE place <= 10)"""
+
+
+@query("graph_arm", _bfs_sql(3, "both", roots=_SEEDS, live=_ARM_LIVE) + """, kinds AS (SELECT to_id AS id, CASE WHEN count(*) % 2 = 0 THEN 'unknown' ELSE 'topic' END AS kind FROM edges GROUP BY to_id),
+met AS (SELECT qid, f.id, min(hop) AS hop FROM seeds s JOIN found f ON s.id = f.root WHERE place <= 10 GROUP BY ALL),
+scored AS (SELECT qid, id, round(1.0 / (1 + hop) * CASE WHEN kind = 'unknown' THEN 0.3 ELSE 1.0 END, 9) AS weight FROM met LEFT JOIN kinds USING (id))
 SELECT qid, id, CAST(weight AS DOUBLE) AS weight, CAST(row_number() OVER (PARTITION BY qid ORDER BY weight DESC, id) AS INTEGER) AS rank FROM scored""")
 def _(spark, sf):
+    """Up to ten of thirteen ranked seeds a query, each followed for three hops; what several reach counts once, by the least hop."""
     e = edges(spark, sf)
-    seeds = _roots(spark, sf).select(F.col("root").alias("qid"), F.col("root").alias("id"), F.lit(1).alias("place"))
+    users = read(spark, sf, "events").select("user_id").distinct()
+    asked = users.where("user_id % 100 = 0").select(F.col("user_id").alias("q"), F.explode(F.sequence(F.col("user_id"), F.col("user_id") + 12)).alias("user_id"))
+    seeds = asked.join(users, "user_id").select(
+        F.concat(F.lit("u:"), "q").alias("qid"), F.concat(F.lit("u:"), "user_id").alias("id"), (F.col("user_id") - F.col("q") + 1).alias("place")
+    )
     kinds = e.groupBy(F.col("to_id").alias("id")).agg(F.when(F.count(F.lit(1)) % 2 == 0, "unknown").otherwise("topic").alias("kind"))
-    return G.graph_arm(e, seeds, kinds, EDGE_NOW, 2)
+    return G.graph_arm(e, seeds, kinds, EDGE_NOW)
+
+
+_ALLOWED = "step AS (SELECT s.a, s.b FROM ({}) s WHERE s.a NOT LIKE 't:%3' AND s.b NOT LIKE 't:%3')"
+
+
+@query("bfs_view_on_path", _bfs_sql(3, "both").replace(_STEPS["both"], _ALLOWED.format("SELECT from_id AS a, to_id AS b FROM live UNION SELECT to_id, from_id FROM live")) + " SELECT * FROM found")
+def _(spark, sf):
+    """The view hides every tenth topic: nothing is reached through one."""
+    e = edges(spark, sf)
+    ids = e.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct().where("NOT id LIKE 't:%3'")
+    return G.neighbours(G.live_edges(e, EDGE_NOW), _roots(spark, sf), 3, "both", ids)
 
 
 _MENTIONS = "m AS (SELECT DISTINCT doc_id, lower(trim(n)) AS n FROM (SELECT doc_id, unnest(people_mentions) AS n FROM corpus_docs) WHERE trim(n) <> '')"

@@ -11,7 +11,11 @@ from lorespark.plans.canonical import EDGE_NOW, EDGES_SQL, NOW, OPLOG_SQL, edges
 _VISIBLE = f"""superseded_at IS NULL AND state = 'active' AND (valid_from IS NULL OR valid_from <= {NOW})
   AND (valid_until IS NULL OR valid_until > {NOW})"""
 _INSTANTS = [1_769_935_176, 1_771_000_000, 1_772_000_000, NOW, 1_776_000_000, 1_790_000_000]
-_NAMES = ["status", "priority", "owner", "is_blocked", "score", "retries"]
+#: The declared attributes, in the order of the fixed table projection_registry.
+_NAMES = [
+    "status", "priority", "owner", "due_on", "effort_hours", "is_blocked", "reviewed", "opened_on", "score", "retries", "locale", "budget", "headcount",
+    "confidential", "sunset_on",
+]
 _CURRENT = "superseded_at IS NULL AND state = 'active'"
 
 Q, SQL = {}, {}
@@ -167,6 +171,23 @@ def _(spark, sf):
 _SOURCE = "(SELECT min(source_id) FROM canonical_nodes)"
 
 
+_GRAPH_NODES = """gn AS (SELECT DISTINCT 'u:' || user_id AS logical_id, user_id % 3 = 0 AS gone FROM events)"""
+
+
+@query("purge_with_edges", f"""WITH {EDGES_SQL}, {_GRAPH_NODES}, dead AS (SELECT logical_id FROM gn WHERE gone)
+SELECT 'nodes' AS name, count(*) AS rows FROM gn WHERE NOT gone
+UNION ALL SELECT 'edges', count(*) FROM edges WHERE from_id NOT IN (SELECT * FROM dead) AND to_id NOT IN (SELECT * FROM dead)
+UNION ALL SELECT 'vectors', count(*) FROM gn WHERE NOT gone""")
+def _(spark, sf):
+    """Users as records, a third of them purged: their edges and their vectors go with them."""
+    users = read(spark, sf, "events").select("user_id").distinct()
+    n = users.select((F.col("user_id") + 10_000_000).alias("write_cursor"), F.concat(F.lit("u:"), "user_id").alias("logical_id"))
+    tables = {"nodes": n, "edges": edges(spark, sf), "vectors": n.select("write_cursor", F.lit(1).alias("v"))}
+    left = R.purge(tables, users.where("user_id % 3 = 0").select(F.concat(F.lit("u:"), "user_id").alias("logical_id")))
+    parts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows")) for name, df in left.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 def _first_source(df):
     return df.agg(F.min("source_id")).first()[0]
 

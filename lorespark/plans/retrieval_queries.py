@@ -9,6 +9,7 @@ from lorespark.operators import text as T
 from lorespark.operators import vector as V
 from lorespark.operators.predicates import ReadView
 from lorespark.operators.skew import positions
+from lorespark.operators.widen import latest, plain_name
 from lorespark.plans.canonical import EDGES_SQL, VECTORS_SQL, edges, nodes, read, vectors
 
 Q, SQL = {}, {}
@@ -138,7 +139,10 @@ def _node_fields(spark, sf):
     )
 
 
-@query("bm25f_fielded", f"""WITH {_NODE_FIELDS}, asked AS (SELECT 1 AS qid, unnest(['task', 'blocked', 'calendar', 'archive']) AS term),
+_TITLES = "(SELECT DISTINCT write_cursor AS qid, json_extract_string(body, '$.title') AS title FROM canonical_nodes WHERE write_cursor % 100 = 0 AND CASE WHEN json_valid(body) THEN json_type(body, '$.title') = 'VARCHAR' END)"
+
+
+@query("bm25f_fielded", f"""WITH {_NODE_FIELDS}, asked AS (SELECT DISTINCT qid, unnest(terms) AS term FROM (SELECT qid, {_terms_sql('title')} AS terms FROM {_TITLES})),
 st AS (SELECT count(*) AS n, avg(len(f_kind)) AS a, avg(len(f_body)) AS b, avg(len(f_status)) AS c FROM docs),
 occ AS (SELECT id, unnest(f_kind) AS term, 0.5 / (0.25 + 0.75 * len(f_kind) / a) AS w FROM docs, st
   UNION ALL SELECT id, unnest(f_body), 1.0 / (0.25 + 0.75 * len(f_body) / b) FROM docs, st
@@ -146,18 +150,25 @@ occ AS (SELECT id, unnest(f_kind) AS term, 0.5 / (0.25 + 0.75 * len(f_kind) / a)
 tf AS (SELECT id, term, sum(w) AS tf FROM occ WHERE term IN (SELECT term FROM asked) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scored AS (SELECT qid, id, round(sum({_FLOORED} * tf * 2.2 / (tf + 1.2)), 9) AS score FROM asked JOIN df USING (term) JOIN tf USING (term), st GROUP BY qid, id) {_ranked(100)}""")
 def _(spark, sf):
-    asked = spark.createDataFrame([(1, ["task", "blocked", "calendar", "archive"])], "qid int, terms array<string>")
+    """The titles of the nodes whose cursor is divisible by 100 search all current nodes."""
+    title = F.try_variant_get(F.try_parse_json("body"), "$.title", "string")
+    asked = nodes(spark, sf).where("write_cursor % 100 = 0").select(F.col("write_cursor").alias("qid"), title.alias("title")).where("title IS NOT NULL").distinct()
+    asked = asked.select("qid", T.content_terms(F.col("title")).alias("terms"))
     return T.top(T.bm25f(_node_fields(spark, sf), _FIELDS, asked), 100).select("qid", "id", "score", "rank")
 
 
-@query("projected_text", r"""WITH docs AS (SELECT write_cursor AS id, regexp_extract_all(lower(v), '[\p{L}\p{N}]+') AS terms FROM
-  (SELECT write_cursor, max(attr_value) AS v FROM canonical_attributes WHERE attr_name = 'owner' AND attr_value IS NOT NULL GROUP BY write_cursor)),
-asked AS (SELECT 1 AS qid, unnest(['zeph', 'amarill', 'quennard']) AS term), """ + f"{_TF}, {_bm25_sql('1.2', '0.75', _FLOORED)} {_ranked(100)}")
+_OWNERS = r"""held AS (SELECT write_cursor, attr_value AS v FROM canonical_attributes WHERE write_cursor IS NOT NULL AND replace(lower(regexp_replace(attr_name, '^\s+|\s+$', '', 'g')), '-', '_') = 'owner'
+  QUALIFY row_number() OVER (PARTITION BY write_cursor ORDER BY landed_at DESC NULLS LAST, attr_value DESC NULLS LAST) = 1)"""
+
+
+@query("projected_text", r"""WITH """ + _OWNERS + r""", docs AS (SELECT write_cursor AS id, regexp_extract_all(lower(v), '[\p{L}\p{N}]+') AS terms FROM held WHERE v IS NOT NULL),
+asked AS (SELECT DISTINCT id AS qid, unnest(terms) AS term FROM docs WHERE id % 100 = 0), """ + f"{_TF}, {_bm25_sql('1.2', '0.75', _FLOORED)} {_ranked(100)}")
 def _(spark, sf):
-    rows = read(spark, sf, "canonical_attributes").where("attr_name = 'owner' AND attr_value IS NOT NULL")
-    docs = rows.groupBy("write_cursor").agg(F.max("attr_value").alias("v")).select(F.col("write_cursor").alias("id"), T.words(F.col("v")).alias("terms"))
-    asked = spark.createDataFrame([(1, ["zeph", "amarill", "quennard"])], "qid int, terms array<string>")
-    return T.top(T.bm25(docs, asked), 100).select("qid", "id", "score", "rank")
+    """The owners that hold, however the name is spelled; those of cursors divisible by 100 search all of them."""
+    rows = read(spark, sf, "canonical_attributes").where("write_cursor IS NOT NULL").where(plain_name(F.col("attr_name")) == "owner")
+    held = latest(rows, ["write_cursor"], "attr_value", "landed_at").where("attr_value IS NOT NULL")
+    docs = held.select(F.col("write_cursor").alias("id"), T.words(F.col("attr_value")).alias("terms"))
+    return T.top(T.bm25(docs, docs.where("id % 100 = 0").withColumnRenamed("id", "qid")), 100).select("qid", "id", "score", "rank")
 
 
 @query("index_key_enrichment", "SELECT doc_id, concat_ws(' ', text, source, thread_id) AS body, strlen(concat_ws(' ', text, source, thread_id)) - strlen(coalesce(text, '')) AS added FROM documents")
