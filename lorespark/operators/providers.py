@@ -57,30 +57,50 @@ def extracted_edges(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def run_extractor(documents: DataFrame, provider: Callable[[str, str], Iterator[dict]], schema: str) -> DataFrame:
-    """The facts a provider finds: provider(source_doc_id, body) runs on the executors, one document at a time."""
+    """The facts a provider finds: provider(source_doc_id, body) runs on the executors, one document at a time, or, if it has
+    ``many``, provider.many(pairs) for all documents of a batch, giving (source_doc_id, fact)."""
     def each(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = [dict(source_doc_id=d, **x) for d, b in zip(pdf["source_doc_id"], pdf["body"]) for x in provider(d, b or "")]
+            pairs = [(d, b or "") for d, b in zip(pdf["source_doc_id"], pdf["body"])]
+            many = getattr(provider, "many", lambda asked: ((d, x) for d, b in asked for x in provider(d, b)))
+            rows = [dict(source_doc_id=d, **x) for d, x in many(pairs)]
             yield pd.DataFrame(rows, columns=[part.split()[0] for part in schema.split(", ")])
 
     return documents.select("source_doc_id", "body").mapInPandas(each, schema)
 
 
 def command_extractor(command: list[str], timeout: float = 60.0) -> Callable[[str, str], Iterator[dict]]:
-    """A provider behind a command that speaks lines of JSON: hello and ready, then extract and result per document."""
-    def extract(doc: str, body: str) -> Iterator[dict]:
-        asked = [{"type": "hello", "protocol": "extract.v1"}, {"type": "extract", "request_id": doc, "body": body}]
-        done = subprocess.run(command, input="\n".join(map(json.dumps, asked)) + "\n", capture_output=True, text=True, timeout=timeout)
+    """A provider behind a command that speaks lines of JSON: hello and ready, then extract and result per document.
+
+    One process serves all documents of a batch; ``timeout`` is for one document. Every request needs exactly one result.
+    """
+    def many(pairs: list[tuple[str, str]]) -> Iterator[tuple[str, dict]]:
+        of: dict[str, str] = {}
+        asked = [{"type": "hello", "protocol": "extract.v1"}]
+        for k, (doc, body) in enumerate(pairs):
+            name = doc if doc not in of else f"{doc}#{k}"
+            of[name] = doc
+            asked.append({"type": "extract", "request_id": name, "body": body})
+        done = subprocess.run(command, input="\n".join(map(json.dumps, asked)) + "\n", capture_output=True, text=True, timeout=timeout * max(1, len(pairs)))
         lines = [json.loads(x) for x in done.stdout.splitlines() if x.strip()]
         if done.returncode or not lines or lines[0].get("type") != "ready":
             raise ProviderError(f"the extractor did not answer: {done.stderr[-300:]}")
+        open_ids = set(of)
         for line in lines[1:]:
-            if line.get("type") != "result" or line.get("request_id") != doc:
+            name = line.get("request_id")
+            if line.get("type") != "result" or name not in open_ids:
                 raise ProviderError("an answer to no request")
-            yield from line.get("edges", [])
+            open_ids.remove(name)
+            yield from ((of[name], edge) for edge in line.get("edges", []))
+        if open_ids:
+            raise ProviderError(f"{len(open_ids)} documents got no result")
+
+    def extract(doc: str, body: str) -> Iterator[dict]:
+        yield from (edge for _, edge in many([(doc, body)]))
 
+    extract.many = many
     return extract
 
 

@@ -3,7 +3,7 @@ import sys
 import pytest
 
 from lorespark.errors import ProviderError
-from lorespark.operators.providers import command_extractor
+from lorespark.operators.providers import command_extractor, run_extractor
 from lorespark.runtime import scratch_path
 from lorespark.schema import CORPUS, struct
 from lorespark.sources import corpus as C
@@ -53,3 +53,20 @@ def test_command_extractor():
     wrong = program.replace("lines[1]['request_id']", "'other'")
     with pytest.raises(ProviderError):
         list(command_extractor([sys.executable, "-c", wrong])("d1", "x"))
+
+
+def test_one_process_serves_many_documents(spark):
+    program = (
+        "import json, os, sys\n"
+        "for line in sys.stdin:\n"
+        "    m = json.loads(line)\n"
+        "    if m['type'] == 'hello': print(json.dumps({'type': 'ready'}))\n"
+        "    else: print(json.dumps({'type': 'result', 'request_id': m['request_id'], 'edges': [{'body': m['body'], 'model': str(os.getpid())}]}))\n"
+    )
+    docs = spark.createDataFrame([("d1", "a"), ("d2", None), ("d1", "b")], "source_doc_id string, body string").coalesce(1)
+    got = run_extractor(docs, command_extractor([sys.executable, "-c", program]), "source_doc_id string, body string, model string").collect()
+    assert sorted((r.source_doc_id, r.body) for r in got) == [("d1", "a"), ("d1", "b"), ("d2", "")]
+    assert len({r.model for r in got}) == 1
+    silent = "print('{\"type\": \"ready\"}')"
+    with pytest.raises(ProviderError):
+        list(command_extractor([sys.executable, "-c", silent])("d1", "x"))
