@@ -653,7 +653,7 @@ class Engine:
         seeds = ends.unionByName(first.select(F.col("logical_id").alias("id"), F.col("rank").alias("p"))).groupBy("id").agg(F.min("p").alias("p"))
         seeds = seeds.withColumn("place", F.row_number().over(Window.orderBy("p", "id"))).where("place <= 10")  # few rows
         kinds = nodes.select(F.col("logical_id").alias("id"), "kind")
-        found = graph.graph_arm(edges, seeds.select(F.lit(0).alias("qid"), "id", "place"), kinds, now)
+        found = graph.graph_arm(edges, seeds.select(F.lit(0).alias("qid"), "id", "place"), kinds, now, allowed=kinds.select("id"))
         placed = found.join(nodes.select(F.col("logical_id").alias("id"), F.col("write_cursor").alias("c"), F.col("body").alias("key")), "id")
         return placed.select("qid", "key", F.col("c").alias("id"), "rank")
 

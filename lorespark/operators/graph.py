@@ -78,15 +78,17 @@ def search_expand(hits: DataFrame, edges: DataFrame, depth: int, limit: int = 10
     return first.unionByName(more.join(kept.select("qid", "id"), ["qid", "id"], "left_anti"))
 
 
-def graph_arm(edges: DataFrame, seeds: DataFrame, kinds: DataFrame, now: int, depth: int = 3, most_seeds: int = 10) -> DataFrame:
+def graph_arm(
+    edges: DataFrame, seeds: DataFrame, kinds: DataFrame, now: int, depth: int = 3, most_seeds: int = 10, allowed: DataFrame | None = None
+) -> DataFrame:
     """(qid, id, weight, rank): candidates of the graph arm.
 
     seeds: qid, id, place; the first ``most_seeds`` of a query count. Edges of uncertain time are
     not walked. A node at hop h weighs 1 / (1 + h), times 0.3 if its kind (kinds: id, kind) is
-    'unknown'; order is weight, then id.
+    'unknown'; order is weight, then id. ``allowed`` (id): the nodes that may be on a path.
     """
     first = seeds.where(F.col("place") <= most_seeds)
-    found = neighbours(live_edges(edges, now, fallback=False), first.select(F.col("id").alias("root")).distinct(), depth, "both")
+    found = neighbours(live_edges(edges, now, fallback=False), first.select(F.col("id").alias("root")).distinct(), depth, "both", allowed)
     hops = first.join(found.withColumnRenamed("id", "to"), first["id"] == found["root"]).groupBy("qid", F.col("to").alias("id")).agg(F.min("hop").alias("hop"))
     kinds = kinds.groupBy("id").agg(F.max("kind").alias("kind"))
     weight = (1 / (1 + F.col("hop"))) * F.when(F.col("kind") == "unknown", 0.3).otherwise(1.0)
