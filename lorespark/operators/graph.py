@@ -39,8 +39,8 @@ def neighbours(
     """(root, id, hop): what each root reaches within ``depth`` hops, with its least hop; the root itself is left out.
 
     ``allowed`` (id) lists the nodes that may be on a path; others block. Per root at most ``cap``
-    ids come back, nearest first, then by id. The frontier is kept distinct and never goes back to
-    what was reached, so cycles end. Roots: a table with a column root.
+    ids come back, nearest first, then by id; with None all of them. What was reached is not walked from
+    again, so cycles end. Roots: a table with a column root.
     """
     if isinstance(depth, bool) or not isinstance(depth, int) or not 1 <= depth <= MOST_HOPS:
         raise InvalidLimitError(f"depth must be 1..{MOST_HOPS}")
@@ -49,17 +49,43 @@ def neighbours(
         ids = allowed.select(F.col("id").alias("b")).distinct()
         step = step.join(ids, "b", "left_semi")
         roots = roots.join(allowed.select(F.col("id").alias("root")).distinct(), "root", "left_semi")
-    seen = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("hop")).distinct()
+    step, roots = written(step.select("a", "b"), "graph-steps"), roots.select("root").distinct()
+    return _all_reached(step, roots, depth) if cap is None else _nearest_reached(step, roots, depth, cap)
+
+
+def _nearest_reached(step: DataFrame, roots: DataFrame, depth: int, cap: int) -> DataFrame:
+    """The first ``cap`` of each root by hop, then id.
+
+    A root that still wants m ids has seen cap + 1 - m, itself with them, so the first cap + 1 neighbours of any node
+    hold all that it can take from there. A root with cap ids walks no further. No hub is expanded in full.
+    """
+    place = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+    step = step.withColumn("__p", place).where(F.col("__p") <= cap + 1).drop("__p")
+    if depth > 1:
+        step = written(step, "graph-steps-first")
+    seen = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("hop"))
+    for hop in range(1, depth + 1):
+        ahead = seen.where(F.col("hop") == hop - 1)
+        if hop > 1:
+            wanting = seen.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= cap).select("root")
+            ahead = ahead.join(wanting, "root", "left_semi")
+        came = ahead.join(step, ahead["id"] == step["a"]).select("root", F.col("b").alias("id")).distinct().withColumn("hop", F.lit(hop))
+        both = seen.unionByName(came).groupBy("root", "id").agg(F.min("hop").alias("hop"))
+        order = F.row_number().over(Window.partitionBy("root").orderBy("hop", "id"))
+        seen = both.withColumn("__p", order).where(F.col("__p") <= cap + 1).drop("__p")
+        if hop < depth:
+            seen = written(seen, "graph-seen")
+    return seen.where("hop > 0")
+
+
+def _all_reached(step: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    seen = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, depth + 1):
         reached = frontier.join(step, frontier["id"] == step["a"]).select("root", F.col("b").alias("id")).distinct()
         frontier = reached.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("hop", F.lit(hop))
         seen = seen.unionByName(frontier)
-    found = seen.where("hop > 0")
-    if cap is None:
-        return found
-    place = F.row_number().over(Window.partitionBy("root").orderBy("hop", "id"))
-    return found.withColumn("__p", place).where(F.col("__p") <= cap).drop("__p")
+    return seen.where("hop > 0")
 
 
 def search_expand(hits: DataFrame, edges: DataFrame, depth: int, limit: int = 10, allowed: DataFrame | None = None) -> DataFrame:
