@@ -61,3 +61,7 @@ def few_rows_for_hubs(spark, name, hubs, most):
 
 def test_bfs_depth2_both_does_not_expand_hubs(spark, hubs):
     few_rows_for_hubs(spark, "bfs_depth2_both", hubs, 150_000)
+
+
+def test_bfs_depth3_both_does_not_expand_hubs(spark, hubs):
+    few_rows_for_hubs(spark, "bfs_depth3_both", hubs, 200_000)
