@@ -79,13 +79,21 @@ def _nearest_reached(step: DataFrame, roots: DataFrame, depth: int, cap: int) ->
 
 
 def _all_reached(step: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    seen = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("hop"))
-    frontier = seen
+    """All that each root reaches. 64 roots are the bits of a number, so an edge is walked once for 64 of them."""
+    numbered = written(roots.withColumn("n", F.monotonically_increasing_id()), "graph-roots")
+    seen = numbered.groupBy(F.col("root").alias("id"), F.shiftright("n", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(n & 63 AS INT))")).alias("bits"))
+    seen = seen.select("id", "word", "bits", F.col("bits").alias("new"))
+    found = None
     for hop in range(1, depth + 1):
-        reached = frontier.join(step, frontier["id"] == step["a"]).select("root", F.col("b").alias("id")).distinct()
-        frontier = reached.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(frontier)
-    return seen.where("hop > 0")
+        ahead = seen.where("new <> 0")
+        came = ahead.join(step, ahead["id"] == step["a"]).groupBy(F.col("b").alias("id"), "word").agg(F.bit_or("new").alias("came"))
+        both = seen.select("id", "word", "bits").join(came, ["id", "word"], "full")
+        had, got = F.coalesce("bits", F.lit(0).cast("bigint")), F.coalesce("came", F.lit(0).cast("bigint"))
+        seen = written(both.select("id", "word", had.bitwiseOR(got).alias("bits"), got.bitwiseAND(F.bitwise_not(had)).alias("new")), "graph-bits")
+        each = seen.where("new <> 0").select("id", F.explode(F.expr("filter(sequence(0, 63), i -> shiftright(new, i) & 1 = 1)")).alias("i"), "word")
+        each = each.select("id", (F.shiftleft("word", 6) + F.col("i")).alias("n"), F.lit(hop).alias("hop"))
+        found = each if found is None else found.unionByName(each)
+    return found.join(numbered, "n").select("root", "id", "hop")
 
 
 def search_expand(hits: DataFrame, edges: DataFrame, depth: int, limit: int = 10, allowed: DataFrame | None = None) -> DataFrame:
