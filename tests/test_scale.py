@@ -69,3 +69,7 @@ def test_bfs_depth3_both_does_not_expand_hubs(spark, hubs):
 
 def test_bfs_min_hop_walks_an_edge_once_for_many_roots(spark, hubs):
     few_rows_for_hubs(spark, "bfs_min_hop", hubs, 200_000)
+
+
+def test_graph_arm_does_not_expand_hubs(spark, hubs):
+    few_rows_for_hubs(spark, "graph_arm", hubs, 1_500_000)
