@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorespark.operators import fusion as FU
+from lorespark.operators import ranked as R
 from lorespark.operators import text as T
 from lorespark.operators import vector as V
 from lorespark.operators.predicates import ReadView
@@ -89,7 +90,7 @@ def _harness(spark, sf):
 
 @query("bm25_harness", f"WITH {_HDOCS}, {_HASKED}, {_TF}, {_bm25_sql('1.5', '0.75', _PLUS)} {_ranked(50)}")
 def _(spark, sf):
-    return T.top(T.bm25(*_harness(spark, sf), T.HARNESS), 50).select("qid", "id", "score", "rank")
+    return R.bm25_top(spark, R.postings(*_harness(spark, sf)), 50, T.HARNESS)
 
 
 @query("bm25_b_sweep", f"WITH {_HDOCS}, {_HASKED}, {_TF}, " + ", ".join(

@@ -16,6 +16,7 @@ from compare import connect, rows  # noqa: E402
 from lorespark.plans import catalog  # noqa: E402
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
+ODD = ["bm25_harness"]
 
 
 def shuffled(spark, name, sf):
@@ -73,3 +74,82 @@ def test_bfs_min_hop_walks_an_edge_once_for_many_roots(spark, hubs):
 
 def test_graph_arm_does_not_expand_hubs(spark, hubs):
     few_rows_for_hubs(spark, "graph_arm", hubs, 1_500_000)
+
+
+def text_tables(folder, ids, owners):
+    """Documents, nodes and attributes of few words, so that nearly every document has a term of every query; embeddings of some."""
+    dice = random.Random(7)
+    words = [f"{a}{b}" for a in ("bor", "cal", "dim", "fen", "gor", "hul", "jas", "kel") for b in ("an", "eth", "ion", "o7", "ur")]
+    say = lambda n: " ".join(dice.choices(words, k=n))
+    texts = [None if k % 97 == 5 else say(30) for k in range(len(ids))]
+    titles = [None if k % 101 == 7 else say(6) for k in range(len(ids))]
+    whole = [i for i in ids if i is not None]
+    tables = {
+        "documents": {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts), "title": pa.array(titles)},
+        "embeddings": {
+            "vec_id": pa.array(sorted(set(whole))[:40], pa.int64()),
+            "embedding": pa.array([[dice.gauss(0, 1) for _ in range(4)] for _ in sorted(set(whole))[:40]], pa.list_(pa.float32())),
+            "label": pa.array([k % 5 for k in range(len(sorted(set(whole))[:40]))], pa.int32()),
+        },
+        "canonical_nodes": {
+            "write_cursor": pa.array(ids, pa.int64()),
+            "kind": pa.array([dice.choice(["task", "note", None]) for _ in ids]),
+            "body": pa.array([f'{{"title":"{say(6)}","note":"{say(20)}","status":"{dice.choice(["done", "open"])}"}}' for _ in ids]),
+            "superseded_at": pa.array([None] * len(ids), pa.int64()),
+            "state": pa.array(["active"] * len(ids)),
+            "importance": pa.array([dice.random() for _ in ids]),
+        },
+        "canonical_attributes": {
+            "write_cursor": pa.array(ids, pa.int64()),
+            "attr_name": pa.array(["owner"] * len(ids)),
+            "attr_value": pa.array([dice.choice(owners) for _ in ids]),
+            "landed_at": pa.array([datetime(2026, 1, 1) + timedelta(seconds=k) for k in range(len(ids))], pa.timestamp("us")),
+        },
+    }
+    for name, columns in tables.items():
+        pq.write_table(pa.table(columns), folder / f"{name}.parquet")
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def texts(tmp_path_factory):
+    """1,000 documents, each of which is a query."""
+    return text_tables(tmp_path_factory.mktemp("texts"), [k * 100 for k in range(1, 1_001)], ["mira holt", "ansel holt", "mira brand", "holt brand"])
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    """Ids that come more than once, with the same or another text, and NULL ids."""
+    ids = [100, 100, 200, 200, 200, None, None, *range(300, 360), 300, 300, 400, 500, 500]
+    return text_tables(tmp_path_factory.mktemp("odd"), ids, ["mira holt", "ansel"])
+
+
+def few_rows_for_texts(spark, name, texts, most):
+    got, n = shuffled(spark, name, texts)
+    assert n < most
+    same_as_sql(got, name, texts)
+
+
+def most_rows(df):
+    """The most rows that one operator of df, which ran, put out."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
+def test_bm25_harness_shuffles_the_best_only(spark, texts):
+    few_rows_for_texts(spark, "bm25_harness", texts, 200_000)
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_repeated_and_null_ids(spark, odd, name):
+    same_as_sql(QUERIES[name](spark, odd).toPandas(), name, odd)
