@@ -98,10 +98,10 @@ def _(spark, sf):
     for i, b in enumerate((0.0, 0.25, 0.5, 0.75))) + " " + " UNION ALL ".join(
     f"SELECT CAST({b} AS DOUBLE) AS b, * FROM ({_ranked(10, source=f's{i}')})" for i, b in enumerate((0.0, 0.25, 0.5, 0.75))))
 def _(spark, sf):
-    docs, asked = _harness(spark, sf)
+    found = R.postings(*_harness(spark, sf))
     out = None
     for b in (0.0, 0.25, 0.5, 0.75):
-        rows = T.top(T.bm25(docs, asked, T.Bm25(1.5, b, "plus_one")), 10).select(F.lit(b).alias("b"), "qid", "id", "score", "rank")
+        rows = R.bm25_top(spark, found, 10, T.Bm25(1.5, b, "plus_one")).select(F.lit(b).alias("b"), "qid", "id", "score", "rank")
         out = rows if out is None else out.unionAll(rows)
     return out
 

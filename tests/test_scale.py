@@ -16,7 +16,7 @@ from compare import connect, rows  # noqa: E402
 from lorespark.plans import catalog  # noqa: E402
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
-ODD = ["bm25_harness"]
+ODD = ["bm25_harness", "bm25_b_sweep"]
 
 
 def shuffled(spark, name, sf):
@@ -153,3 +153,7 @@ def test_bm25_harness_shuffles_the_best_only(spark, texts):
 @pytest.mark.parametrize("name", ODD)
 def test_repeated_and_null_ids(spark, odd, name):
     same_as_sql(QUERIES[name](spark, odd).toPandas(), name, odd)
+
+
+def test_bm25_b_sweep_shuffles_the_best_only(spark, texts):
+    few_rows_for_texts(spark, "bm25_b_sweep", texts, 200_000)
