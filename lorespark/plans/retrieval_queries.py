@@ -155,7 +155,7 @@ def _(spark, sf):
     title = F.try_variant_get(F.try_parse_json("body"), "$.title", "string")
     asked = nodes(spark, sf).where("write_cursor % 100 = 0").select(F.col("write_cursor").alias("qid"), title.alias("title")).where("title IS NOT NULL").distinct()
     asked = asked.select("qid", T.content_terms(F.col("title")).alias("terms"))
-    return T.top(T.bm25f(_node_fields(spark, sf), _FIELDS, asked), 100).select("qid", "id", "score", "rank")
+    return R.bm25f_top(_node_fields(spark, sf), _FIELDS, asked, 100)
 
 
 _OWNERS = r"""held AS (SELECT write_cursor, attr_value AS v FROM canonical_attributes WHERE write_cursor IS NOT NULL AND replace(lower(regexp_replace(attr_name, '^\s+|\s+$', '', 'g')), '-', '_') = 'owner'
@@ -169,7 +169,7 @@ def _(spark, sf):
     rows = read(spark, sf, "canonical_attributes").where("write_cursor IS NOT NULL").where(plain_name(F.col("attr_name")) == "owner")
     held = latest(rows, ["write_cursor"], "attr_value", "landed_at").where("attr_value IS NOT NULL")
     docs = held.select(F.col("write_cursor").alias("id"), T.words(F.col("attr_value")).alias("terms"))
-    return T.top(T.bm25(docs, docs.where("id % 100 = 0").withColumnRenamed("id", "qid")), 100).select("qid", "id", "score", "rank")
+    return R.bm25_top(spark, R.postings(docs, docs.where("id % 100 = 0").withColumnRenamed("id", "qid")), 100)
 
 
 @query("index_key_enrichment", "SELECT doc_id, concat_ws(' ', text, source, thread_id) AS body, strlen(concat_ws(' ', text, source, thread_id)) - strlen(coalesce(text, '')) AS added FROM documents")

@@ -16,7 +16,7 @@ from compare import connect, rows  # noqa: E402
 from lorespark.plans import catalog  # noqa: E402
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
-ODD = ["bm25_harness", "bm25_b_sweep"]
+ODD = ["bm25_harness", "bm25_b_sweep", "projected_text", "bm25f_fielded"]
 
 
 def shuffled(spark, name, sf):
@@ -157,3 +157,7 @@ def test_repeated_and_null_ids(spark, odd, name):
 
 def test_bm25_b_sweep_shuffles_the_best_only(spark, texts):
     few_rows_for_texts(spark, "bm25_b_sweep", texts, 200_000)
+
+
+def test_bm25f_fielded_shuffles_the_best_only(spark, texts):
+    few_rows_for_texts(spark, "bm25f_fielded", texts, 200_000)
