@@ -161,3 +161,9 @@ def test_bm25_b_sweep_shuffles_the_best_only(spark, texts):
 
 def test_bm25f_fielded_shuffles_the_best_only(spark, texts):
     few_rows_for_texts(spark, "bm25f_fielded", texts, 200_000)
+
+
+def test_projected_text_has_no_row_for_each_pair(spark, texts):
+    df = QUERIES["projected_text"](spark, texts)
+    assert len(df.collect()) == most_rows(df) == 100_000
+    same_as_sql(df.toPandas(), "projected_text", texts)
