@@ -122,7 +122,7 @@ qw AS (SELECT qid, term, count(*) * any_value(idf) AS qw FROM qo JOIN idf USING
 scored AS (SELECT qid, id, round(sum(qw * w) / any_value(norm * qnorm), 9) AS score FROM qw JOIN w USING (term) JOIN nm USING (id) JOIN qn USING (qid) GROUP BY qid, id)
 {_ranked(20)}""")
 def _(spark, sf):
-    return T.top(T.tfidf_cosine(*_harness(spark, sf)), 20).select("qid", "id", "score", "rank")
+    return R.tfidf_top(*_harness(spark, sf), 20)
 
 
 _FIELDS = {"f_kind": 0.5, "f_body": 1.0, "f_status": 2.0}
