@@ -74,7 +74,7 @@ def _(spark, sf):
 
 @query("bm25_body", f"WITH {_DOCS}, {_ASKED}, {_TF}, {_bm25_sql('1.2', '0.75', _FLOORED)} {_ranked(100)}")
 def _(spark, sf):
-    return T.top(T.bm25(_docs(spark, sf), _asked(spark, sf)), 100).select("qid", "id", "score", "rank")
+    return R.bm25_top(spark, R.postings(_docs(spark, sf), _asked(spark, sf)), 100)
 
 
 _HDOCS = "docs AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda t: strlen(t) >= 2) AS terms FROM documents)"

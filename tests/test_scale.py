@@ -16,7 +16,7 @@ from compare import connect, rows  # noqa: E402
 from lorespark.plans import catalog  # noqa: E402
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
-ODD = ["bm25_harness", "bm25_b_sweep", "projected_text", "bm25f_fielded", "tfidf_cosine"]
+ODD = ["bm25_harness", "bm25_b_sweep", "projected_text", "bm25f_fielded", "tfidf_cosine", "bm25_body"]
 
 
 def shuffled(spark, name, sf):
@@ -171,3 +171,7 @@ def test_projected_text_has_no_row_for_each_pair(spark, texts):
 
 def test_tfidf_cosine_shuffles_the_best_only(spark, texts):
     few_rows_for_texts(spark, "tfidf_cosine", texts, 200_000)
+
+
+def test_bm25_body_shuffles_the_best_only(spark, texts):
+    few_rows_for_texts(spark, "bm25_body", texts, 200_000)
