@@ -108,9 +108,7 @@ def _(spark, sf):
 
 @query("match_all_terms", f"WITH {_DOCS}, {_ASKED}, {_TF}, {_bm25_sql('1.2', '0.75', _FLOORED)}, c AS (SELECT qid, count(*) AS n FROM asked GROUP BY qid) SELECT qid, id, score FROM scored JOIN c USING (qid) WHERE matched = c.n")
 def _(spark, sf):
-    asked = _asked(spark, sf)
-    sizes = asked.select("qid", F.size(F.array_distinct("terms")).alias("n"))
-    return T.bm25(_docs(spark, sf), asked).join(sizes, "qid").where("matched = n").select("qid", "id", "score")
+    return R.bm25_all_terms(spark, R.postings(_docs(spark, sf), _asked(spark, sf)))
 
 
 @query("tfidf_cosine", f"""WITH {_HDOCS}, n AS (SELECT count(*) AS n FROM docs),

@@ -16,7 +16,7 @@ from compare import connect, rows  # noqa: E402
 from lorespark.plans import catalog  # noqa: E402
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
-ODD = ["bm25_harness", "bm25_b_sweep", "projected_text", "bm25f_fielded", "tfidf_cosine", "bm25_body"]
+ODD = ["bm25_harness", "bm25_b_sweep", "projected_text", "bm25f_fielded", "tfidf_cosine", "bm25_body", "match_all_terms"]
 
 
 def shuffled(spark, name, sf):
@@ -175,3 +175,7 @@ def test_tfidf_cosine_shuffles_the_best_only(spark, texts):
 
 def test_bm25_body_shuffles_the_best_only(spark, texts):
     few_rows_for_texts(spark, "bm25_body", texts, 200_000)
+
+
+def test_match_all_terms_shuffles_the_best_only(spark, texts):
+    few_rows_for_texts(spark, "match_all_terms", texts, 200_000)
