@@ -314,10 +314,15 @@ g AS (SELECT qid, key, round(sum(w / ({k} + r)), 9) AS score, min((arm, r, id))
 fused AS (SELECT qid, key, s[3] AS id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, s[1], s[2], s[3]) AS rank, vector_rank, text_rank FROM g)"""
 
 
+def _bodies(spark, sf):
+    """(id, key): what is fused is a document's text, by its digest, so that no shuffle carries texts."""
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"))
+
+
 def _arm_rows(spark, sf):
-    body = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("key"))
+    body = _bodies(spark, sf)
     near = V.nearest(_vec(spark, sf), _qvec(spark, sf), 100).select("qid", "id", "rank")
-    lexical = T.top(T.bm25(_docs(spark, sf), _asked(spark, sf)), 100).select("qid", "id", "rank")
+    lexical = R.bm25_top(spark, R.postings(_docs(spark, sf), _asked(spark, sf)), 100).select("qid", "id", "rank")
     return near.join(body, "id"), lexical.join(body, "id")
 
 

@@ -179,3 +179,7 @@ def test_bm25_body_shuffles_the_best_only(spark, texts):
 
 def test_match_all_terms_shuffles_the_best_only(spark, texts):
     few_rows_for_texts(spark, "match_all_terms", texts, 200_000)
+
+
+def test_fused_rerank_shuffles_the_best_only(spark, texts):
+    few_rows_for_texts(spark, "fused_rerank", texts, 500_000)
