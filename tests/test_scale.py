@@ -183,3 +183,7 @@ def test_match_all_terms_shuffles_the_best_only(spark, texts):
 
 def test_fused_rerank_shuffles_the_best_only(spark, texts):
     few_rows_for_texts(spark, "fused_rerank", texts, 500_000)
+
+
+def test_hybrid_search_shuffles_the_best_only(spark, texts):
+    few_rows_for_texts(spark, "hybrid_search", texts, 500_000)
