@@ -187,3 +187,7 @@ def test_fused_rerank_shuffles_the_best_only(spark, texts):
 
 def test_hybrid_search_shuffles_the_best_only(spark, texts):
     few_rows_for_texts(spark, "hybrid_search", texts, 500_000)
+
+
+def test_rrf_harness_shuffles_the_best_only(spark, texts):
+    few_rows_for_texts(spark, "rrf_harness", texts, 500_000)
