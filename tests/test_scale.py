@@ -191,3 +191,7 @@ def test_hybrid_search_shuffles_the_best_only(spark, texts):
 
 def test_rrf_harness_shuffles_the_best_only(spark, texts):
     few_rows_for_texts(spark, "rrf_harness", texts, 500_000)
+
+
+def test_importance_reweight_shuffles_the_best_only(spark, texts):
+    few_rows_for_texts(spark, "importance_reweight", texts, 500_000)
