@@ -446,8 +446,7 @@ g AS (SELECT qid, key, round(sum(w / (30.0 + r)), 9) AS score, min((arm, r, id))
 SELECT qid, s[3] AS id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, s[1], s[2], s[3]) AS INTEGER) AS rank FROM g""")
 def _(spark, sf):
     near, lexical = _arm_rows(spark, sf)
-    body = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("key"))
-    bits = V.nearest(_vec(spark, sf), _qvec(spark, sf), 100, "hamming").select("qid", "id", "rank").join(body, "id")
+    bits = V.nearest(_vec(spark, sf), _qvec(spark, sf), 100, "hamming").select("qid", "id", "rank").join(_bodies(spark, sf), "id")
     return FU.rrf([FU.Arm("vector", near, 1.0), FU.Arm("text", lexical, 3.0), FU.Arm("bits", bits, 1.0)]).select("qid", "id", "score", "rank")
 
 
