@@ -374,7 +374,7 @@ z AS (SELECT qid, id, rank, inside, CASE WHEN inside THEN round(0.3 * (1 / (1 +
 SELECT qid, id, round(ce_score, 6) AS ce_score, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN inside THEN 0 ELSE 1 END, ce_score DESC NULLS LAST, rank) AS INTEGER) AS rank FROM z""")
 def _(spark, sf):
     hits = _fused(spark, sf).withColumn("logit", (F.col("id") % 13) / 3.0 - 2)
-    return FU.rerank_blend(hits, "logit", 50).select("qid", "id", F.round("ce_score", 6).alias("ce_score"), "rank")
+    return FU.rerank_blend(hits, "logit", 50).select("qid", "id", (F.round(F.col("ce_score") * 1e6) / 1e6).alias("ce_score"), "rank")
 
 
 @query("fused_rerank", f"""WITH {_fused_sql(60.0, 1.0, 1.0)}, x AS (SELECT *, rank <= 20 AS inside, (id % 13) / 3.0 - 2 AS logit FROM fused),
