@@ -203,3 +203,7 @@ def test_rrf_three_arm_shuffles_the_best_only(spark, texts):
 
 def test_ce_blend_shuffles_the_best_only(spark, texts):
     few_rows_for_texts(spark, "ce_blend", texts, 500_000)
+
+
+def test_recency_reweight_shuffles_the_best_only(spark, texts):
+    few_rows_for_texts(spark, "recency_reweight", texts, 500_000)
