@@ -207,3 +207,7 @@ def test_ce_blend_shuffles_the_best_only(spark, texts):
 
 def test_recency_reweight_shuffles_the_best_only(spark, texts):
     few_rows_for_texts(spark, "recency_reweight", texts, 500_000)
+
+
+def test_rrf_two_arm_shuffles_the_best_only(spark, texts):
+    few_rows_for_texts(spark, "rrf_two_arm", texts, 500_000)
