@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorespark.operators import graph as G
 from lorespark.operators import text as T
+from lorespark.operators.passages import passage_ranking
 from lorespark.plans.canonical import EDGE_NOW, EDGES_SQL, edges, read
 
 Q, SQL = {}, {}
@@ -161,7 +162,7 @@ def _(spark, sf):
     asked = asked.select(F.col("doc_id").alias("qid"), T.words(F.col("title"), T.HARNESS_WORD, 2).alias("terms"))
     members = rows.select(F.col("doc_id").alias("doc"), F.explode("people_mentions").alias("n")).select("doc", F.lower(F.trim("n")).alias("id")).where("id <> ''").distinct()
     together = G.entity_graph(rows.select(F.col("doc_id").alias("doc"), F.col("people_mentions").alias("names"))).select("a", "b")
-    return G.passage_fusion(members, together, docs.count(), T.bm25(docs, asked, T.HARNESS))
+    return passage_ranking(docs, asked, members, together)
 
 
 @query("graph_seeding", f"""WITH {EDGES_SQL}, {_ARM_LIVE}, d AS (SELECT write_cursor AS id, regexp_extract_all(lower(body), '[a-z0-9]+') AS terms FROM live),

@@ -1,18 +1,22 @@
 """Rows that pass a shuffle where every query or root meets every document or node, and the results there against SQL."""
 
+import math
 import random
 import sys
+from collections import defaultdict
 from datetime import datetime, timedelta
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 from compare import connect, rows  # noqa: E402
 
+from lorespark.operators import passages  # noqa: E402
 from lorespark.plans import catalog  # noqa: E402
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -211,3 +215,60 @@ def test_recency_reweight_shuffles_the_best_only(spark, texts):
 
 def test_rrf_two_arm_shuffles_the_best_only(spark, texts):
     few_rows_for_texts(spark, "rrf_two_arm", texts, 500_000)
+
+
+def plain_passages(docs, asked, seeds=10, k=60):
+    """docs: id -> (words, names); asked: qid -> words. The rows of ppr_passages, worked out pair by pair."""
+    n, mean = len(docs), sum(len(w) for w, _ in docs.values()) / len(docs)
+    count = lambda t: sum(t in w for w, _ in docs.values())
+    linked = defaultdict(set)
+    for _, names in docs.values():
+        for a in names:
+            linked[a] |= names - {a}
+    places = lambda score: {d: p for p, d in enumerate(sorted(score, key=lambda d: (-score[d], d)), 1)}
+    out = []
+    for qid, terms in asked.items():
+        idf = {t: math.log(1 + (n - count(t) + 0.5) / (count(t) + 0.5)) for t in set(terms)}
+        lexical = {
+            d: round(sum(idf[t] * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in idf if t in w), 9)
+            for d, (w, _) in docs.items() if set(w) & set(idf)
+        }
+        text = places(lexical)
+        first = set().union(*(docs[d][1] for d in text if text[d] <= seeds))
+        start = {m: max(math.log((n + 1) / (sum(m in x for _, x in docs.values()) + 0.5)), 1e-6) for m in first}
+        start = {m: w / sum(start.values()) for m, w in start.items()}
+        mass = dict(start)
+        for _ in range(200):
+            came = defaultdict(float)
+            for a, x in mass.items():
+                for b in linked[a]:
+                    came[b] += 0.85 * x / len(linked[a])
+            mass = {m: came[m] + start.get(m, 0) * (1 - sum(came.values())) for m in came.keys() | start.keys()}
+        named = {d: round(sum(mass.get(m, 0) for m in names), 6) for d, (_, names) in docs.items()}
+        graph = places({d: x for d, x in named.items() if x > 0})
+        fused = {d: round(sum(1 / (k + p[d]) for p in (text, graph) if d in p), 9) for d in text.keys() | graph.keys()}
+        out += [(qid, d, fused[d], p) for d, p in places(fused).items()]
+    return sorted(out)
+
+
+def test_ppr_passages_shuffles_no_pairs(spark, tmp_path, monkeypatch):
+    """150 titles, in several tasks, meet nearly all of 120 passages; one passage is blank, one name is alone, and bodies repeat."""
+    monkeypatch.setattr(passages, "SETS", 20)
+    rng = random.Random(4)
+    words, people = [f"word{k}" for k in range(12)], [f"name{k}" for k in range(9)]
+    bodies = {f"{k:03x}": [rng.choice(words) for _ in range(rng.randrange(1, 12))] for k in range(117)}
+    bodies |= {"0ff": bodies["001"], "1ff": [], "2ff": ["word1"]}
+    named = {d: set(rng.sample(people, rng.randrange(3))) for d in bodies} | {"2ff": {"alone"}}
+    titles = {100 * (q + 1): [rng.choice(words) for _ in range(3)] for q in range(148)} | {20_000: ["word1"], 20_100: ["unheard"]}
+    texts = {
+        "doc_id": pa.array(list(bodies)), "body": pa.array([" ".join(w) for w in bodies.values()]),
+        "modified_at": pa.array(["2024"] * len(bodies)), "people_mentions": pa.array([sorted(named[d]) for d in bodies], pa.list_(pa.string())),
+    }
+    pq.write_table(pa.table(texts), tmp_path / "corpus_docs.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array(list(titles)), "title": pa.array([" ".join(w) for w in titles.values()])}), tmp_path / "documents.parquet")
+    assert len(QUERIES["ppr_passages"](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().collect()) > 3
+    got, n = shuffled(spark, "ppr_passages", str(tmp_path))
+    wanted = plain_passages({d: (w, named[d]) for d, w in bodies.items()}, titles)
+    assert len(wanted) > 10_000
+    assert n < 5_000
+    assert sorted(got[["qid", "id", "score", "rank"]].itertuples(index=False, name=None)) == wanted
